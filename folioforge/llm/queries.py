@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioforge.llm import p2_pairs, p4_canonical, p5_split, p8_encode
+from folioforge.llm import p2_pairs, p4_canonical, p5_split, p6_visible, p7_names, p8_encode
 from folioforge.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,10 @@ def queries() -> dict[str, Query]:
         "p4_found": lambda s, d: p4_canonical.resolve(table(s, d, "tag_candidates"), table(s, d, "tags")),
         "p5_found": lambda s, d: p5_split.oversized(table(s, d, "stories")),
         "p5_pieces": lambda s, d: p5_split.split(table(s, d, "stories")),
+        "p6_found": lambda s, d: p6_visible.disguised(table(s, d, "stories")),
+        "p6_texts": lambda s, d: p6_visible.normalized(table(s, d, "stories")),
+        "p7_found": lambda s, d: p7_names.linked(table(s, d, "stories")),
+        "p7_entities": lambda s, d: p7_names.attribute(table(s, d, "stories")),
         "p8_ids": lambda s, d: p8_encode.encode(table(s, d, "documents")),
     }
 

@@ -165,7 +165,9 @@ def resolve(values: DataFrame, reference: DataFrame, id_col: str = "id", text_co
 
         return run
 
-    spread = rest.repartition("v")
+    # Matching costs CPU, not bytes: a fixed number of partitions, or AQE would put the small shuffle into one task.
+    session = values.sparkSession
+    spread = rest.repartition(max(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions"))), "v")
     if blocks <= 1:
         found = spread.mapInArrow(matcher(weighted.collect()), "v string, d bigint, u bigint, k bigint")
     else:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioforge.llm import p2_pairs, p4_canonical, p5_split, p6_visible, p7_names, p8_encode
+from folioforge.llm import p2_pairs, p4_canonical, p5_split, p6_visible, p7_names, p8_encode, p9_leaks, p10_encoding
 from folioforge.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,10 @@ def queries() -> dict[str, Query]:
         "p7_found": lambda s, d: p7_names.linked(table(s, d, "stories")),
         "p7_entities": lambda s, d: p7_names.attribute(table(s, d, "stories")),
         "p8_ids": lambda s, d: p8_encode.encode(table(s, d, "documents")),
+        "p9_found": lambda s, d: p9_leaks.leaked(table(s, d, "documents"), table(s, d, "eval_items")),
+        "p9_alignments": lambda s, d: p9_leaks.alignments(table(s, d, "documents"), table(s, d, "eval_items")),
+        "p10_found": lambda s, d: p10_encoding.affected(table(s, d, "documents")),
+        "p10_texts": lambda s, d: p10_encoding.restored(table(s, d, "documents")),
     }
 
 

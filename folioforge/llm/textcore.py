@@ -68,8 +68,11 @@ def chunks(texts: list[str | None], limit: int = CHUNK_CHARS):
         yield first, len(texts)
 
 
-def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of all words in order, offsets): words of text i are hashes[offsets[i]:offsets[i + 1]]."""
+def word_hashes(texts: list[str | None], spans: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all words in order, offsets): words of text i are hashes[offsets[i]:offsets[i + 1]].
+
+    To ``spans``, if given, go the first and last positions of the words in their texts.
+    """
     word, rnd, power = tables()
     parts: list[np.ndarray] = []
     counts = np.zeros(len(texts) + 1, np.int64)
@@ -84,6 +87,9 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         if not len(starts):
             continue
         length = ends - starts
+        if spans is not None:
+            base = at[np.searchsorted(at, starts, "right") - 1]
+            spans.append((starts - base, ends - base))
         cum = np.concatenate(([0], np.cumsum(length)))
         inside = np.arange(cum[-1]) - np.repeat(cum[:-1], length)
         value = rnd[cp[is_word]] * power[inside & ((1 << _POW_BITS) - 1)]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioforge.llm import p1_reposts, p2_pairs, p4_canonical, p5_split, p6_visible, p7_names, p8_encode, p9_leaks, p10_encoding
+from folioforge.llm import p1_reposts, p2_pairs, p3_scans, p4_canonical, p5_split, p6_visible, p7_names, p8_encode, p9_leaks, p10_encoding
 from folioforge.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,8 @@ def queries() -> dict[str, Query]:
         "p1_groups": lambda s, d: p1_reposts.groups(table(s, d, "stories")),
         "p2_found": lambda s, d: p2_pairs.related(table(s, d, "story_tags")),
         "p2_lifts": lambda s, d: p2_pairs.lifts(table(s, d, "story_tags")),
+        "p3_found": lambda s, d: p3_scans.affected(table(s, d, "stories")),
+        "p3_texts": lambda s, d: p3_scans.repaired(table(s, d, "stories")),
         "p4_found": lambda s, d: p4_canonical.resolve(table(s, d, "tag_candidates"), table(s, d, "tags")),
         "p5_found": lambda s, d: p5_split.oversized(table(s, d, "stories")),
         "p5_pieces": lambda s, d: p5_split.split(table(s, d, "stories")),

@@ -31,34 +31,69 @@ WINDOW, SEED, BLOCK_WORDS = 12, 5, 1 << 21
 MATCH, OTHER = 2, 1
 
 
-def smith_waterman(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, int]:
-    """(best local score, longest equal run, start and stop of the best part in b) of two word sequences."""
-    n = len(b)
-    up = np.zeros(n + 1, np.int32)
-    begin_up = np.arange(n + 1, dtype=np.int32)  # where the alignment that ends here began in b
-    run = np.zeros(n + 1, np.int32)
-    step = OTHER * np.arange(n + 1, dtype=np.int32)
-    best = longest = start = stop = 0
-    for word in a:
-        same = b == word
-        diag = np.r_[0, up[:-1] + np.where(same, MATCH, -OTHER)].astype(np.int32)
-        begin = np.r_[0, begin_up[:-1]].astype(np.int32)
+def smith_waterman(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int, int, int]]:
+    """Per pair of word sequences (a, b): (best local score, longest equal run, start and stop of the best part in b).
+
+    All pairs of a call are aligned side by side, one word of every ``a`` at a time; give pairs of like lengths.
+    """
+    p, n, m = len(pairs), max(len(b) for _, b in pairs), max(len(a) for a, _ in pairs)
+    first, second = np.zeros((p, m), U64), np.zeros((p, n), U64)
+    for k, (a, b) in enumerate(pairs):
+        first[k, : len(a)], second[k, : len(b)] = a, b
+    lengths = np.array([[len(a), len(b)] for a, b in pairs])
+    real = np.arange(n) < lengths[:, 1:]
+    places = np.arange(n + 1, dtype=np.int32)
+    step = OTHER * places
+    rows = np.arange(p)
+    up = np.zeros((p, n + 1), np.int32)
+    begin_up = np.tile(places, (p, 1))  # where the alignment that ends here began in b
+    run = np.zeros((p, n + 1), np.int32)
+    best, longest, start, stop = (np.zeros(p, np.int32) for _ in range(4))
+    for i in range(m):
+        same = (second == first[:, i : i + 1]) & real & (i < lengths[:, :1])
+        h = np.zeros((p, n + 1), np.int32)
+        h[:, 1:] = up[:, :-1] + np.where(same, MATCH, -OTHER)
+        begin = begin_up.copy()
+        begin[:, 1:] = begin_up[:, :-1]
         gap = up - OTHER
-        take = gap > diag
-        h, begin = np.where(take, gap, diag), np.where(take, begin_up, begin)
+        take = gap > h
+        np.copyto(h, gap, where=take)
+        np.copyto(begin, begin_up, where=take)
         none = h <= 0
-        h, begin = np.where(none, 0, h), np.where(none, np.arange(n + 1), begin)
+        h[none] = 0
+        np.copyto(begin, places, where=none)
         # gaps along b: the best earlier cell, each step costing OTHER
-        reach = np.maximum.accumulate(h + step)
-        source = np.maximum.accumulate(np.where(h + step == reach, np.arange(n + 1), 0))
-        h, begin = reach - step, begin[source]
-        run = np.r_[0, np.where(same, run[:-1] + 1, 0)].astype(np.int32)
-        longest = max(longest, int(run.max()))
-        k = int(h.argmax())
-        if h[k] > best:
-            best, start, stop = int(h[k]), int(begin[k]), k
+        lifted = h + step
+        reach = np.maximum.accumulate(lifted, axis=1)
+        source = np.maximum.accumulate(np.where(lifted == reach, places, 0), axis=1)
+        h = reach - step
+        begin = np.take_along_axis(begin, source, 1)
+        new = np.zeros_like(run)
+        new[:, 1:] = np.where(same, run[:, :-1] + 1, 0)
+        run = new
+        longest = np.maximum(longest, run.max(1))
+        at = h.argmax(1)
+        top = h[rows, at]
+        better = top > best
+        best[better], start[better], stop[better] = top[better], begin[rows, at][better], at[better]
         up, begin_up = h, begin
-    return best, longest, start, stop
+    return list(zip(best.tolist(), longest.tolist(), start.tolist(), stop.tolist(), strict=True))
+
+
+def aligned(pairs: list[tuple[np.ndarray, np.ndarray]], cells: int = 1 << 15) -> list[tuple[int, int, int, int]]:
+    """``smith_waterman`` of any number of pairs, in groups of like lengths."""
+    out: list = [None] * len(pairs)
+    order = sorted(range(len(pairs)), key=lambda k: (len(pairs[k][1]), len(pairs[k][0])))
+    at = 0
+    while at < len(order):
+        size = 1
+        while at + size < len(order) and (size + 1) * len(pairs[order[at + size]][1]) <= cells and len(pairs[order[at + size]][1]) <= 1.3 * len(pairs[order[at]][1]) + 16:
+            size += 1
+        own = order[at : at + size]
+        for k, result in zip(own, smith_waterman([pairs[k] for k in own]), strict=True):
+            out[k] = result
+        at += size
+    return out
 
 
 class Items:
@@ -147,13 +182,9 @@ def alignments(documents: DataFrame, items: DataFrame, window: int = WINDOW, min
                 seeded = block.seed[k] == runs if len(block.seed) else np.zeros(len(runs), bool)
                 docs = np.unique(np.searchsorted(run_at, np.flatnonzero(seeded), "right") - 1)
                 doc_ids = batch.column(0).to_pylist()
-                found = []
-                for d in docs.tolist():
-                    own = words[at[d] : at[d + 1]]
-                    for i in block.candidates(runs[run_at[d] : run_at[d + 1]]):
-                        score, longest, a, b = smith_waterman(block.words[block.offsets[i] : block.offsets[i + 1]], own)
-                        if score >= min_score:
-                            found.append((doc_ids[d], block.ids[i], score, longest, a, b))
+                wanted = [(d, i) for d in docs.tolist() for i in block.candidates(runs[run_at[d] : run_at[d + 1]])]
+                results = aligned([(block.words[block.offsets[i] : block.offsets[i + 1]], words[at[d] : at[d + 1]]) for d, i in wanted])
+                found = [(doc_ids[d], block.ids[i], *r) for (d, i), r in zip(wanted, results, strict=True) if r[0] >= min_score]
                 if found:
                     columns = list(zip(*found, strict=True))
                     kinds = [pa.int64(), pa.int64()] + [pa.int32()] * 4

@@ -12,22 +12,26 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _schema(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+_KINDS = {"string": T.StringType(), "int": T.IntegerType(), "bigint": T.LongType(), "double": T.DoubleType(), "array<string>": T.ArrayType(T.StringType())}
+
+
+def schema_of(text: str) -> T.StructType:
+    """A schema from ``name type, ...``, without a session."""
+    return T.StructType([T.StructField(n, _KINDS[k]) for n, k in (x.split() for x in text.split(","))])
 
 
 SCHEMAS: dict[str, T.StructType] = {
-    "stories": _schema("id string, group_id string, part_index int, title string, author string, body_text string, source_relpath string, content_hash string, ingested_at string, status string, removed_at string, media_path string"),
-    "tag_candidates": _schema("id bigint, story_id string, tag_text string, prompt_version string, model string, created_at string, status string, job_id bigint"),
-    "tags": _schema("id bigint, name string, description string, created_at string"),
-    "story_tags": _schema("story_id string, tag_id bigint, confidence double, source string, job_id bigint"),
-    "site_tags": _schema("code string, label string"),
-    "story_site_tags": _schema("story_id string, code string"),
-    "prompts": _schema("id bigint, name string, text string, based_on_id bigint, created_at string"),
-    "jobs": _schema("id bigint, type string, status string, prompt_id bigint, model string, scope string, total bigint, done bigint, failed bigint, pid bigint, error string, created_at string, started_at string, finished_at string, reverted_at string, last_block_seconds double, last_block_items bigint"),
-    "job_errors": _schema("id bigint, job_id bigint, story_ref string, error string, created_at string"),
+    "stories": schema_of("id string, group_id string, part_index int, title string, author string, body_text string, source_relpath string, content_hash string, ingested_at string, status string, removed_at string, media_path string"),
+    "tag_candidates": schema_of("id bigint, story_id string, tag_text string, prompt_version string, model string, created_at string, status string, job_id bigint"),
+    "tags": schema_of("id bigint, name string, description string, created_at string"),
+    "story_tags": schema_of("story_id string, tag_id bigint, confidence double, source string, job_id bigint"),
+    "site_tags": schema_of("code string, label string"),
+    "story_site_tags": schema_of("story_id string, code string"),
+    "prompts": schema_of("id bigint, name string, text string, based_on_id bigint, created_at string"),
+    "jobs": schema_of("id bigint, type string, status string, prompt_id bigint, model string, scope string, total bigint, done bigint, failed bigint, pid bigint, error string, created_at string, started_at string, finished_at string, reverted_at string, last_block_seconds double, last_block_items bigint"),
+    "job_errors": schema_of("id bigint, job_id bigint, story_ref string, error string, created_at string"),
 }
-SIGNATURE = _schema("id string, group_id string, part_index int, title string, author string, body_text string, source_relpath string, content_hash string, ingested_at string, tags array<string>, media_path string")
+SIGNATURE = schema_of("id string, group_id string, part_index int, title string, author string, body_text string, source_relpath string, content_hash string, ingested_at string, tags array<string>, media_path string")
 REQUIRED = ("id", "group_id", "part_index", "title", "author", "body_text", "source_relpath", "content_hash", "ingested_at")
 #: Defaults of columns that older snapshots may lack.
 ADDED = {"stories": {"status": "active", "removed_at": None, "media_path": None}, "tag_candidates": {"job_id": None}, "story_tags": {"job_id": None}, "jobs": {"reverted_at": None, "last_block_seconds": None, "last_block_items": None}}

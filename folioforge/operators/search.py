@@ -35,19 +35,27 @@ def phrases(query: str) -> list[list[str]]:
     return out
 
 
+def bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it is named inside."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _and_equal(token: str):
+    return lambda hit, x: F.coalesce(hit & (x == token), F.lit(False))
+
+
 def occurrences(words: Column, phrase: list[str]) -> Column:
     """How often the phrase stands in an array of tokens."""
     if len(phrase) == 1:
         return F.size(F.filter(words, lambda w: w == phrase[0]))
-    last = F.size(words) - len(phrase)
 
-    def here(i: Column) -> Column:
-        hit = F.lit(True)
-        for k, p in enumerate(phrase):
-            hit = hit & (F.get(words, i + k) == p)
-        return hit
+    def count(w: Column) -> Column:
+        hit = F.transform(w, lambda x: x == phrase[0])
+        for k, p in enumerate(phrase[1:], 1):
+            hit = F.zip_with(hit, F.slice(w, F.lit(k + 1), F.size(w)), _and_equal(p))
+        return F.size(F.filter(hit, lambda h: h))
 
-    return F.when(last < 0, 0).otherwise(F.size(F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), here)))
+    return bound(words, count)
 
 
 def tokenized(stories: DataFrame) -> DataFrame:
@@ -84,14 +92,24 @@ def scored(library: Library, query: str) -> DataFrame:
 def snippet(body: Column, terms: list[list[str]], size: int = SNIPPET) -> Column:
     """The first window of ``size`` words with the most words that hit, escaped, hits in mark tags, … at cut sides."""
     wanted = F.array(*(F.lit(t) for p in terms for t in p))
+
+    def windowed(x: Column) -> Column:
+        words, hit = x["words"], x["hit"]
+        starts = F.sequence(F.lit(0), F.greatest(F.size(words) - size, F.lit(0)))
+        total = F.transform(starts, lambda i: F.aggregate(F.slice(hit, i + 1, F.lit(size)), F.lit(0), lambda s, y: s + y))
+
+        def shown(y: Column) -> Column:
+            at, words, hit = y["at"], y["words"], y["hit"]
+            marked = F.zip_with(F.slice(words, at, F.lit(size)), F.slice(hit, at, F.lit(size)), lambda w, h: F.when(h == 1, F.concat(F.lit("<mark>"), escape_html(w), F.lit("</mark>"))).otherwise(escape_html(w)))
+            text = F.concat(F.when(at > 1, "…").otherwise(""), F.array_join(marked, " "), F.when(at + size <= F.size(words), "…").otherwise(""))
+            return F.when(F.size(words) == 0, "").otherwise(text)
+
+        at = bound(total, lambda t: F.array_position(t, F.array_max(t)).cast("int"))
+        return bound(F.struct(at.alias("at"), words.alias("words"), hit.alias("hit")), shown)
+
     words = F.filter(F.split(F.coalesce(body, F.lit("")), r"\s+"), lambda w: w != "")
-    hit = F.transform(words, lambda w: F.arrays_overlap(tokens(w), wanted).cast("int"))
-    starts = F.sequence(F.lit(0), F.greatest(F.size(words) - size, F.lit(0)))
-    total = F.transform(starts, lambda i: F.aggregate(F.slice(hit, i + 1, F.lit(size)), F.lit(0), lambda s, x: s + x))
-    at = F.array_position(total, F.array_max(total)).cast("int")
-    shown = F.zip_with(F.slice(words, at, F.lit(size)), F.slice(hit, at, F.lit(size)), lambda w, h: F.when(h == 1, F.concat(F.lit("<mark>"), escape_html(w), F.lit("</mark>"))).otherwise(escape_html(w)))
-    text = F.array_join(shown, " ")
-    return F.when(F.size(words) == 0, "").otherwise(F.concat(F.when(at > 1, "…").otherwise(""), text, F.when(at + size <= F.size(words), "…").otherwise("")))
+    with_hits = bound(words, lambda ws: F.struct(ws.alias("words"), F.transform(ws, lambda w: F.arrays_overlap(tokens(w), wanted).cast("int")).alias("hit")))
+    return bound(with_hits, windowed)
 
 
 def parts(library: Library, query: str, limit: int = 50, offset: int = 0, with_snippet: bool = True) -> DataFrame:

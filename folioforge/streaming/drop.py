@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from folioforge.model import SCHEMAS, commit, opened
+from folioforge.model import SCHEMAS, commit, opened, schema_of
 from folioforge.operators.mutate import signature_site_links, upsert_stories
 from folioforge.sources.files import split_signatures
 
@@ -16,7 +15,7 @@ def pick_up(spark: SparkSession, folder: str, root: str, checkpoint: str) -> Non
 
     Runs once over what is there and ends; a repeated batch writes the same rows again.
     """
-    files = spark.readStream.schema(T.StructType.fromDDL("value string")).option("wholetext", True).option("pathGlobFilter", "*.json").format("text").load(folder)
+    files = spark.readStream.schema(schema_of("value string")).option("wholetext", True).option("pathGlobFilter", "*.json").format("text").load(folder)
 
     def store(batch: DataFrame, _: int) -> None:
         good, _bad = split_signatures(batch.select(F.lit("").alias("file"), F.col("value").alias("text")))

@@ -36,22 +36,22 @@ PLACEHOLDERS = frozenset(
         "multiple authors", "several authors", "authors various", "multiple", "nn", "n n", "nobody", "name withheld", "tba", "tbd", "et al", "the author", "author s", "misc",
     )
 )
-#: Usual English short forms of given names.
+#: Usual English short forms of given names and what they stand for.
 NICKNAMES = {
-    "abby": "abigail", "abbie": "abigail", "gail": "abigail", "alex": "alexander", "alec": "alexander", "sandy": "alexander", "al": "alexander", "xander": "alexander",
-    "tony": "anthony", "ant": "anthony", "gus": "augustine", "augie": "augustine", "ed": "edwin", "eddie": "edwin", "ned": "edwin", "ted": "theodore",
-    "ellie": "eleanor", "nell": "eleanor", "nellie": "eleanor", "nora": "eleanor", "ella": "eleanor", "lena": "eleanor", "flo": "florence", "florrie": "florence", "flossie": "florence",
-    "fran": "frances", "fanny": "frances", "frankie": "frances", "frank": "francis", "fred": "frederick", "freddie": "frederick", "freddy": "frederick",
-    "kate": "katherine", "kathy": "katherine", "katie": "katherine", "kit": "katherine", "kitty": "katherine", "kath": "katherine", "kim": "kimberley", "kimmy": "kimberley",
-    "meg": "margaret", "maggie": "margaret", "peggy": "margaret", "madge": "margaret", "daisy": "margaret", "greta": "margaret", "mattie": "matilda", "tilda": "matilda", "tilly": "matilda", "maud": "matilda",
-    "mike": "michael", "mick": "michael", "mickey": "michael", "tabby": "tabitha", "theo": "theodore", "teddy": "theodore", "tom": "thomas", "tommy": "thomas", "thom": "thomas",
-    "walt": "walter", "wally": "walter", "wat": "walter", "wen": "wendell", "wendy": "wendell", "dell": "wendell", "mina": "wilhelmina", "minnie": "wilhelmina", "billie": "wilhelmina", "willa": "wilhelmina",
-    "will": "william", "bill": "william", "billy": "william", "willie": "william", "liam": "william", "win": "winifred", "winnie": "winifred", "freda": "winifred",
-    "bob": "robert", "rob": "robert", "bobby": "robert", "dick": "richard", "rick": "richard", "jim": "james", "jimmy": "james", "jack": "john", "johnny": "john", "joe": "joseph",
-    "liz": "elizabeth", "beth": "elizabeth", "betty": "elizabeth", "bess": "elizabeth", "eliza": "elizabeth", "sam": "samuel", "ben": "benjamin", "dan": "daniel", "dave": "david",
-    "harry": "henry", "hal": "henry", "chris": "christopher", "nick": "nicholas", "steve": "stephen", "sue": "susan", "becky": "rebecca", "jenny": "jennifer",
-    "charlie": "charles", "chuck": "charles", "larry": "lawrence", "pat": "patricia", "patty": "patricia", "vicky": "victoria", "dot": "dorothy", "dolly": "dorothy",
-    "archie": "archibald", "bert": "albert", "bertie": "albert", "ernie": "ernest", "geoff": "geoffrey", "jeff": "jeffrey", "josh": "joshua", "matt": "matthew", "tim": "timothy", "ron": "ronald",
+    "abby": "abigail", "abbie": "abigail", "gail": "abigail", "alec": "alexander", "sandy": "alexander", "xander": "alexander", "lex": "alexander alexandra", "tony": "anthony", "gus": "augustine augustus angus",
+    "ed": "edwin edward edmund edgar", "eddie": "edwin edward edmund edgar", "ned": "edwin edward edmund", "ted": "theodore edward edmund", "teddy": "theodore edward", "ellie": "eleanor ellen elizabeth", "nell": "eleanor ellen helen", "nellie": "eleanor ellen helen", "nora": "eleanor honora",
+    "flossie": "florence", "florrie": "florence", "fanny": "frances", "frankie": "frances francis franklin", "frank": "francis franklin", "fred": "frederick alfred", "freddie": "frederick alfred winifred", "freddy": "frederick alfred",
+    "kate": "katherine catherine", "kathy": "katherine catherine kathleen", "katie": "katherine catherine", "kit": "katherine christopher", "kitty": "katherine catherine", "cathy": "catherine", "meg": "margaret", "maggie": "margaret", "peggy": "margaret", "peg": "margaret", "madge": "margaret", "greta": "margaret", "rita": "margaret",
+    "tilda": "matilda", "tilly": "matilda", "tillie": "matilda", "maud": "matilda", "mattie": "matilda martha", "mike": "michael", "mick": "michael", "mickey": "michael", "tom": "thomas", "tommy": "thomas", "mina": "wilhelmina", "minnie": "wilhelmina minerva", "billie": "wilhelmina", "willa": "wilhelmina",
+    "bill": "william", "billy": "william", "liam": "william", "wally": "walter wallace", "wat": "walter", "dell": "wendell", "freda": "winifred", "bob": "robert", "rob": "robert", "bobby": "robert", "bert": "robert albert herbert", "dick": "richard", "rick": "richard frederick", "ricky": "richard", "jim": "james", "jimmy": "james", "jamie": "james",
+    "jack": "john jackson", "johnny": "john", "joe": "joseph", "liz": "elizabeth", "lizzie": "elizabeth", "beth": "elizabeth bethany", "betty": "elizabeth", "bess": "elizabeth", "bessie": "elizabeth", "betsy": "elizabeth", "libby": "elizabeth", "eliza": "elizabeth", "dave": "david", "davy": "david", "harry": "henry harold harrison", "hank": "henry", "hal": "henry harold",
+    "topher": "christopher", "chris": "christopher christina christine", "kris": "kristina kristopher", "tina": "christina martina", "nick": "nicholas", "nicky": "nicholas nicola", "steve": "stephen steven", "sue": "susan susanna susannah suzanne", "becky": "rebecca", "becca": "rebecca", "chuck": "charles", "charlie": "charles charlotte", "lottie": "charlotte", "carrie": "caroline", "larry": "lawrence",
+    "tori": "victoria", "vicky": "victoria", "dot": "dorothy", "dotty": "dorothy", "dolly": "dorothy", "archie": "archibald", "bertie": "albert herbert", "ernie": "ernest", "geoff": "geoffrey", "jeff": "jeffrey", "jon": "jonathan", "jonny": "jonathan", "jo": "josephine joanna joanne", "josie": "josephine", "pip": "philip philippa", "phil": "philip philippa",
+    "sam": "samuel samantha", "sammy": "samuel samantha", "gabe": "gabriel", "gerry": "gerald gerard geraldine", "jerry": "gerald jeremiah jerome", "roddy": "roderick rodney", "lily": "lillian", "lil": "lillian", "patsy": "patricia", "pat": "patricia patrick", "patty": "patricia", "paddy": "patrick", "deb": "deborah", "debbie": "deborah", "jen": "jennifer", "jenny": "jennifer jane",
+    "penny": "penelope", "polly": "mary paula", "molly": "mary", "sally": "sarah", "sadie": "sarah", "nan": "anne nancy", "annie": "anne anna", "nancy": "anne", "hattie": "harriet", "hetty": "henrietta harriet", "trudy": "gertrude", "gertie": "gertrude", "milly": "mildred millicent", "effie": "euphemia", "reg": "reginald", "ron": "ronald", "ray": "raymond", "vin": "vincent", "vince": "vincent", "zach": "zachary",
+    "alex": "alexander alexandra", "dan": "daniel", "danny": "daniel", "susie": "susan susanna susannah suzanne", "will": "william", "willie": "william", "theo": "theodore", "wen": "wendell", "win": "winifred winston", "winnie": "winifred", "flo": "florence", "fran": "frances francesca", "kim": "kimberley", "tabby": "tabitha", "walt": "walter",
+    "matt": "matthew", "andy": "andrew", "drew": "andrew", "ben": "benjamin", "benny": "benjamin", "tim": "timothy", "greg": "gregory", "josh": "joshua", "nate": "nathaniel nathan", "cal": "calvin", "clem": "clement clementine", "con": "constance cornelius", "connie": "constance", "di": "diana", "don": "donald", "doug": "douglas", "gwen": "gwendolen gwendoline", "ken": "kenneth", "les": "leslie lester",
+    "mandy": "amanda", "marge": "margaret marjorie", "max": "maximilian maxwell", "mel": "melanie melvin", "norm": "norman", "ollie": "oliver olive", "stan": "stanley",
 }
 #: Words of organisations and their usual short forms.
 ORGANISATION = {
@@ -69,6 +69,8 @@ _BY = re.compile(r"^(?:written |story |text )?by[:\s]+")
 #: Odds against a word being typed with one slip, for surnames and given names: a word goes over to a neighbour within
 #: one slip whose prior (works) is more than so many times its own, which is where the posterior turns.
 SURNAME_ODDS, GIVEN_ODDS, HEAD_ODDS = 1.5, 6.0, 1.0
+#: A short form is learned from at least so many surnames, and so large a share of its own.
+LEARNED_FROM, LEARNED_SHARE = 4, 0.5
 PARSED = "org boolean, surname string, given string, initial string, middle string, plain boolean, alt_surname string, alt_given string"
 
 
@@ -116,13 +118,13 @@ def parse(text: str) -> dict | None:
         return None
     if len(first_words) == 1 and len(first_words[0]) == 2 and upper_pair and first_words[0] not in NICKNAMES:  # "KT Mermopiman"
         first_words = list(first_words[0])
-    given = NICKNAMES.get(first_words[0], first_words[0])
+    given = first_words[0]
     full = len(given) > 1
-    swap = not inverted and len(words) == 2 and len(words[0]) > 2
+    swap = not inverted and len(words) == 2 and len(words[0]) > 2 and words[0] not in NICKNAMES
     return {
         "org": False, "surname": last_words[-1], "given": given if full else "", "initial": given[0], "middle": first_words[1][0] if len(first_words) > 1 else "",
         "plain": full and not inverted and len(first_words) == 1 and first_words[0] not in NICKNAMES,
-        "alt_surname": words[0] if swap else None, "alt_given": NICKNAMES.get(words[-1], words[-1]) if swap else None,
+        "alt_surname": words[0] if swap else None, "alt_given": words[-1] if swap else None,
     }
 
 
@@ -201,14 +203,14 @@ def attribute(stories: DataFrame, author_col: str = "author", work_col: str = "g
         .join(forms, ["given", "surname"], "left")
         .join(given_use.withColumnsRenamed(as_alt), "alt_given", "left")
         .join(forms.withColumnsRenamed(as_alt), ["alt_given", "alt_surname"], "left")
-        .withColumn("swap", F.expr("alt_given is not null and (coalesce(n_alt_form, 0) > coalesce(n_form, 0) or (n_alt_form is null and coalesce(n_alt, 0) > 2 * coalesce(n_given, 0)))"))
+        .withColumn("swap", F.expr("alt_given is not null and (coalesce(n_alt_form, 0) > coalesce(n_form, 0) or (n_alt_form is null and coalesce(n_alt, 0) > 5 * coalesce(n_given, 0)))"))
         .withColumn("right_surname", F.expr("if(swap, alt_surname, surname)"))
         .withColumn("right_given", F.expr("if(swap, alt_given, given)"))
         .selectExpr("author", "n", "right_surname surname", "right_given given", "if(swap, substring(alt_given, 1, 1), initial) initial", "middle", "plain and not swap plain")
     )
     person = cut(person)
     given_n = person.where("given <> ''").groupBy(F.col("given").alias("word")).agg(F.sum("n").alias("n"))
-    given_fix = _corrections(given_n, GIVEN_ODDS, 3)
+    given_fix = _corrections(given_n, GIVEN_ODDS, 4)
     surname_n = person.groupBy(F.col("surname").alias("word")).agg(F.sum("n").alias("n"))
     surname_fix = _corrections(surname_n, SURNAME_ODDS, 5)
     right = (
@@ -218,6 +220,17 @@ def attribute(stories: DataFrame, author_col: str = "author", work_col: str = "g
     )
     # Candidates: full forms; the prior is the number of works under that form, plain spellings first.
     candidates = right.where("g <> ''").groupBy("s", "g").agg(F.sum("n").alias("prior"))
+    # Short forms of given names: the usual ones, and those that the corpus shows (a name whose surnames mostly also come
+    # with one more frequent name).  They go over to a candidate of the same surname, the one of largest prior.
+    spark = stories.sparkSession
+    usual = spark.createDataFrame([(short, long) for short, longs in NICKNAMES.items() for long in longs.split()], "g string, formal string")
+    works = candidates.groupBy("g").agg(F.sum("prior").alias("works"), F.count("*").alias("surnames"))
+    met = candidates.select("s", "g").join(candidates.select("s", F.col("g").alias("formal")), "s").where("g <> formal").groupBy("g", "formal").agg(F.count("*").alias("both"))
+    learned = met.join(works, "g").join(works.select(F.col("g").alias("formal"), F.col("works").alias("formal_works")), "formal").where(f"both >= {LEARNED_FROM} and both >= {LEARNED_SHARE} * surnames and formal_works > works").select("g", "formal")
+    formal = candidates.select("s", F.col("g").alias("formal"), "prior")
+    named = candidates.select("s", "g").join(usual.unionByName(learned).distinct(), "g").join(formal, ["s", "formal"]).groupBy("s", "g").agg(F.max(F.struct("prior", "formal")).alias("m")).select("s", "g", F.col("m.formal").alias("formal"))
+    right = right.join(named, ["s", "g"], "left").withColumn("g", F.coalesce("formal", "g")).drop("formal")
+    candidates = right.where("g <> ''").groupBy("s", "g").agg(F.sum("n").alias("prior"))
     full = right.where("g <> ''").select("author", F.concat_ws(" ", "g", "s").alias("entity"))
     middles = right.where("g <> '' and middle <> ''").groupBy("s", "g").agg(F.collect_set("middle").alias("middles"))
     short = right.where("g = ''").alias("v").join(candidates.join(middles, ["s", "g"], "left").alias("c"), F.expr("v.s = c.s and substring(c.g, 1, 1) = v.initial"), "left")

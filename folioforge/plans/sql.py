@@ -91,8 +91,8 @@ ac as (select * from j where status in ('queued', 'running') and type in ('extra
 ow as (select id, case when total - done - failed <= 0 then 0.0 else (total - done - failed) * sec / items end own from ac where coalesce(items, 0) <> 0 and coalesce(sec, 0) <> 0),
 st as (select id, (count(*) over () - row_number() over (order by own, id) + 1) * (own - lag(own, 1, 0.0) over (order by own, id)) step, own from ow),
 cu as (select id, sum(step) over (order by own, id rows unbounded preceding) e from st)
-select ac.id, round(e, 6) eta_seconds, case when status = 'running' then case when e is null or e < 60 then '<1m' when e < 3600 then '~' || (e // 60)::bigint || 'm'
- when e < 86400 then '~' || (e // 3600)::bigint || 'h ' || (e % 3600 // 60)::bigint || 'm' else '~' || (e // 86400)::bigint || 'd ' || (e % 86400 // 3600)::bigint || 'h' end end eta
+select ac.id, round(e, 6) eta_seconds, case when status = 'running' then case when e is null or e < 60 then '<1m' when e < 3600 then '~' || floor(e / 60)::bigint || 'm'
+ when e < 86400 then '~' || floor(e / 3600)::bigint || 'h ' || floor(e % 3600 / 60)::bigint || 'm' else '~' || floor(e / 86400)::bigint || 'd ' || floor(e % 86400 / 3600)::bigint || 'h' end end eta
 from ac left join cu on cu.id = ac.id"""
     return {
         "browse_page1": _page(limit="limit 50"),

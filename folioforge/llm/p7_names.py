@@ -217,9 +217,12 @@ def attribute(stories: DataFrame, author_col: str = "author", work_col: str = "g
         person.join(surname_fix.select(F.col("word").alias("surname"), F.col("right").alias("s")), "surname")
         .join(given_fix.select(F.col("word").alias("given"), F.col("right").alias("g")), "given", "left")
         .withColumn("g", F.coalesce("g", F.lit("")))
+        .select("author", "n", "s", "g", "initial", "middle")
     )
+    # Each stage is a few distinct spellings: written once, so that plans stay small however often they are used.
+    right = cut(right)
     # Candidates: full forms; the prior is the number of works under that form, plain spellings first.
-    candidates = right.where("g <> ''").groupBy("s", "g").agg(F.sum("n").alias("prior"))
+    candidates = cut(right.where("g <> ''").groupBy("s", "g").agg(F.sum("n").alias("prior")))
     # Short forms of given names: the usual ones, and those that the corpus shows (a name whose surnames mostly also come
     # with one more frequent name).  They go over to a candidate of the same surname, the one of largest prior.
     spark = stories.sparkSession
@@ -229,8 +232,8 @@ def attribute(stories: DataFrame, author_col: str = "author", work_col: str = "g
     learned = met.join(works, "g").join(works.select(F.col("g").alias("formal"), F.col("works").alias("formal_works")), "formal").where(f"both >= {LEARNED_FROM} and both >= {LEARNED_SHARE} * surnames and formal_works > works").select("g", "formal")
     formal = candidates.select("s", F.col("g").alias("formal"), "prior")
     named = candidates.select("s", "g").join(usual.unionByName(learned).distinct(), "g").join(formal, ["s", "formal"]).groupBy("s", "g").agg(F.max(F.struct("prior", "formal")).alias("m")).select("s", "g", F.col("m.formal").alias("formal"))
-    right = right.join(named, ["s", "g"], "left").withColumn("g", F.coalesce("formal", "g")).drop("formal")
-    candidates = right.where("g <> ''").groupBy("s", "g").agg(F.sum("n").alias("prior"))
+    right = cut(right.join(named, ["s", "g"], "left").withColumn("g", F.coalesce("formal", "g")).drop("formal"))
+    candidates = cut(right.where("g <> ''").groupBy("s", "g").agg(F.sum("n").alias("prior")))
     full = right.where("g <> ''").select("author", F.concat_ws(" ", "g", "s").alias("entity"))
     middles = right.where("g <> '' and middle <> ''").groupBy("s", "g").agg(F.collect_set("middle").alias("middles"))
     short = right.where("g = ''").alias("v").join(candidates.join(middles, ["s", "g"], "left").alias("c"), F.expr("v.s = c.s and substring(c.g, 1, 1) = v.initial"), "left")

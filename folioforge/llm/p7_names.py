@@ -22,7 +22,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.llm.common import cut, texts_of
@@ -69,6 +69,8 @@ _BY = re.compile(r"^(?:written |story |text )?by[:\s]+")
 #: Odds against a word being typed with one slip, for surnames and given names: a word goes over to a neighbour within
 #: one slip whose prior (works) is more than so many times its own, which is where the posterior turns.
 SURNAME_ODDS, GIVEN_ODDS, HEAD_ODDS = 1.5, 6.0, 1.0
+#: Log odds of a candidate whose known middle initials hold the variant's, or hold others only.
+MIDDLE_SAME, MIDDLE_OTHER = 3.0, -1.0
 #: A short form is learned from at least so many surnames, and so large a share of its own.
 LEARNED_FROM, LEARNED_SHARE = 4, 0.5
 PARSED = "org boolean, surname string, given string, initial string, middle string, plain boolean, alt_surname string, alt_given string"
@@ -228,19 +230,26 @@ def attribute(stories: DataFrame, author_col: str = "author", work_col: str = "g
     spark = stories.sparkSession
     usual = spark.createDataFrame([(short, long) for short, longs in NICKNAMES.items() for long in longs.split()], "g string, formal string")
     works = candidates.groupBy("g").agg(F.sum("prior").alias("works"), F.count("*").alias("surnames"))
-    met = candidates.select("s", "g").join(candidates.select("s", F.col("g").alias("formal")), "s").where("g <> formal").groupBy("g", "formal").agg(F.count("*").alias("both"))
+    # Only names with the same beginning are held against each other, so a surname with very many given names stays small.
+    begin = lambda c: F.substring(c, 1, 3).alias("begin")
+    met = candidates.select("s", "g", begin("g")).join(candidates.select("s", F.col("g").alias("formal"), begin("g")), ["s", "begin"]).where("g <> formal").groupBy("g", "formal").agg(F.count("*").alias("both"))
     learned = met.join(works, "g").join(works.select(F.col("g").alias("formal"), F.col("works").alias("formal_works")), "formal").where(f"both >= {LEARNED_FROM} and both >= {LEARNED_SHARE} * surnames and formal_works > works").select("g", "formal")
     formal = candidates.select("s", F.col("g").alias("formal"), "prior")
     named = candidates.select("s", "g").join(usual.unionByName(learned).distinct(), "g").join(formal, ["s", "formal"]).groupBy("s", "g").agg(F.max(F.struct("prior", "formal")).alias("m")).select("s", "g", F.col("m.formal").alias("formal"))
     right = cut(right.join(named, ["s", "g"], "left").withColumn("g", F.coalesce("formal", "g")).drop("formal"))
     candidates = cut(right.where("g <> ''").groupBy("s", "g").agg(F.sum("n").alias("prior")))
     full = right.where("g <> ''").select("author", F.concat_ws(" ", "g", "s").alias("entity"))
-    middles = right.where("g <> '' and middle <> ''").groupBy("s", "g").agg(F.collect_set("middle").alias("middles"))
-    short = right.where("g = ''").alias("v").join(candidates.join(middles, ["s", "g"], "left").alias("c"), F.expr("v.s = c.s and substring(c.g, 1, 1) = v.initial"), "left")
-    posterior = "log(c.prior) + case when v.middle = '' or c.middles is null then 0.0 when array_contains(c.middles, v.middle) then 3.0 else -1.0 end"
-    scored = short.select(F.expr("v.author author"), F.expr("v.s s"), F.expr("v.initial initial"), F.expr("c.g g"), F.expr(posterior).alias("score"))
-    best = Window.partitionBy("author").orderBy(F.desc_nulls_last("score"), "g")
-    chosen = scored.withColumn("r", F.row_number().over(best)).where("r = 1").select("author", F.expr("if(g is null, concat(initial, '. ', s), concat(g, ' ', s))").alias("entity"))
+    # Initials: the posterior depends on the candidate's prior and on whether its middle names are unknown, hold the
+    # variant's, or are others; the best of each kind is found per (surname, initial), so no variant meets all candidates.
+    middles = right.where("g <> '' and middle <> ''").select("s", "g", "middle").distinct()
+    known = candidates.join(middles.select("s", "g").distinct().withColumn("has", F.lit(True)), ["s", "g"], "left").withColumn("initial", F.substring("g", 1, 1))
+    top = lambda when: F.max(F.when(F.expr(when), F.struct("prior", "g")))
+    by_initial = known.groupBy("s", "initial").agg(top("true").alias("any"), top("has is null").alias("bare"))
+    by_middle = candidates.join(middles, ["s", "g"]).groupBy("s", F.substring("g", 1, 1).alias("initial"), "middle").agg(F.max(F.struct("prior", "g")).alias("same"))
+    short = right.where("g = ''").select("author", "s", "initial", "middle").join(by_initial, ["s", "initial"], "left").join(by_middle, ["s", "initial", "middle"], "left")
+    option = lambda c, weight: F.expr(f"if({c} is null, null, struct(ln({c}.prior) + if(middle = '', 0.0, {weight}) as score, {c}.g as g))")
+    best = F.greatest(option("same", MIDDLE_SAME), option("bare", 0.0), option("any", MIDDLE_OTHER))
+    chosen = short.select("author", "s", "initial", best.alias("b")).select("author", F.expr("if(b is null, concat(initial, '. ', s), concat(b.g, ' ', s))").alias("entity"))
 
     # Organisations: the head word is corrected like a surname, the kind words are already spelled out.
     orgs = parsed.where("org")

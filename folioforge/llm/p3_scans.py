@@ -45,6 +45,7 @@ _SIGN = re.compile(r"[a-zA-Z]\d|\d[a-zA-Z]|[a-zA-Z][!|][a-zA-Z]")
 _SIGN_WORD = re.compile(r"(?<![\w!|])(?=[\w!|]*[^\W\d_])(?=[\w!|]*[\d!|])[\w!|]*[\w](?![\w|])")
 _ORDINAL = re.compile(r"^(?:\d+(?:st|nd|rd|th|s|d|am|pm|km|m|cm|mm|kg|g|ft|in|lb|oz|x|p)|[a-z]\d+|\d+[a-z]|[ivxlc]+)$", re.I)
 _CUT = re.compile(r"([^\W\d_]+)([-¬­‐])[ \t]*\n[ \t]*([^\W\d_]+)")
+_LINE_CUT = re.compile(r"[-¬\u00ad‐][ \t]*\n")
 _NUMBER_LINE = re.compile(r"^\W*(?:page|pg\.?|p\.)?\W*([0-9OolISB]{1,4})\W*$", re.I)
 _HEAD_NUMBER = re.compile(r"^(?:(?P<a>\d{1,4})\W+(?P<x>\D.*?)|(?P<y>\D.*?)\W+(?P<b>\d{1,4}))\W*$")
 _HEADING = re.compile(r"^\W*(?:(?:chapter|part|book|section|canto|act|scene|§)\W*\w+\W*|\d+\.|[ivxlc]+\.?)$", re.I)
@@ -259,9 +260,10 @@ class Scans:
     def look(self, text: str, title: str, author: str, words: list[tuple[str, int]]) -> tuple[Page, dict[str, str]]:
         """(findings, misread words by what was printed); ``words``: rare words with the number of their texts."""
         page, fixes = Page(), {}
+        cuts = list(_CUT.finditer(text)) if _LINE_CUT.search(text) else []
+        for m in cuts:
+            page.cuts += self.joined(m[1], m[2], m[3])
         if "\n" in text or "\x0c" in text:
-            for m in _CUT.finditer(text):
-                page.cuts += self.joined(m[1], m[2], m[3])
             lines = text.split("\n")
             page.drop = self.furniture(lines, title, author)
             page.furniture = len(page.drop) + text.count("\x0c")
@@ -276,7 +278,7 @@ class Scans:
             if right and sum(c.isalpha() for c in w) * 2 >= len(w):
                 fixes[w] = right
                 page.signs += 1
-        broken = {p.lower() for m in _CUT.finditer(text) for p in (m[1], m[3])} if "\n" in text else ()
+        broken = {p.lower() for m in cuts for p in (m[1], m[3])}
         for w, own in words:
             if w not in broken and w.isascii() and 2 < len(w) <= 24 and w.isalpha():
                 right = self.printed(w, own)

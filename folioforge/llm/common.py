@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
@@ -25,7 +26,12 @@ def cut(df: DataFrame) -> DataFrame:
             context.setCheckpointDir(tempfile.mkdtemp(prefix="folioforge-"))
         else:
             context.setCheckpointDir(os.path.join(df.sparkSession.conf.get("spark.sql.warehouse.dir"), "_checkpoints"))
-    return df.checkpoint()
+    written = df.checkpoint()
+    # Spark removes the shuffle files of a finished stage once nothing refers to it and the JVM has collected its garbage.
+    del df
+    gc.collect()
+    context._jvm.System.gc()
+    return written
 
 
 def per_batch(function: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]):

@@ -47,6 +47,8 @@ _ORDINAL = re.compile(r"^(?:\d+(?:st|nd|rd|th|s|d|am|pm|km|m|cm|mm|kg|g|ft|in|lb
 _CUT = re.compile(r"([^\W\d_]+)([-¬­‐])[ \t]*\n[ \t]*([^\W\d_]+)")
 _LINE_CUT = re.compile(r"[-¬\u00ad‐][ \t]*\n")
 _NUMBER_LINE = re.compile(r"^\W*(?:page|pg\.?|p\.)?\W*([0-9OolISB]{1,4})\W*$", re.I)
+_NUMBER_OF = re.compile(r"^\W*(page|pg\.?|p\.)?\W*([0-9OolISB]{1,4})(?:\W*\b[o0]f\b\W*|\s*/\s*)([0-9OolISB]{1,4})\W*$", re.I)
+_DIGITS = str.maketrans("OoLlIiSsBb", "0011115588")
 _HEAD_NUMBER = re.compile(r"^(?:(?P<a>\d{1,4})\W+(?P<x>\D.*?)|(?P<y>\D.*?)\W+(?P<b>\d{1,4}))\W*$")
 _HEADING = re.compile(r"^\W*(?:(?:chapter|part|book|section|canto|act|scene|§)\W*\w+\W*|\d+\.|[ivxlc]+\.?)$", re.I)
 
@@ -108,6 +110,16 @@ def loosened(line: str) -> str:
     return t.translate(str.maketrans("015896|!", "olsbgblh".replace("h", "l"))).replace("rn", "m").replace("cl", "d").replace("vv", "w").replace("i", "l").replace("c", "e")
 
 
+def page_number(line: str) -> int | None:
+    """The number of a line that holds nothing but a page number: "12", "Page 12", "Page 12 of 40", "12/40"."""
+    if m := _NUMBER_LINE.match(line):
+        return int(m[1].translate(_DIGITS)) if any(c.isdigit() for c in m[1]) else None
+    if (m := _NUMBER_OF.match(line)) and all(any(c.isdigit() for c in x) for x in (m[2], m[3])):
+        number, last = int(m[2].translate(_DIGITS)), int(m[3].translate(_DIGITS))
+        return number if m[1] or number <= last else None
+    return None
+
+
 class Page:
     """Findings in one text."""
 
@@ -183,11 +195,9 @@ class Scans:
             x = lines[i].strip(" \t\x0c")
             if len(x) > 80 or _HEADING.match(x):
                 continue
-            if m := _NUMBER_LINE.match(x):
-                digits = m[1].translate(str.maketrans("OolISB", "001158"))
-                if any(c.isdigit() for c in m[1]):
-                    numbers.append((i, int(digits), ""))
-            elif (m := _HEAD_NUMBER.match(x)) and not re.search(r"[.!?:;,]\s*$", m["x"] or m["y"] or "."):
+            if (number := page_number(x)) is not None:
+                numbers.append((i, number, ""))
+            elif not _NUMBER_LINE.match(x) and (m := _HEAD_NUMBER.match(x)) and not re.search(r"[.!?:;,]\s*$", m["x"] or m["y"] or "."):
                 beside = m["x"] or m["y"]
                 if len(beside) <= 60 and self.headlike(beside, title, author):
                     numbers.append((i, int(m["a"] or m["b"]), beside))
@@ -232,10 +242,14 @@ class Scans:
 
     def interrupts(self, lines: list[str], filled: list[int], k: int) -> bool:
         """Does the line stand inside a sentence?"""
+        def passed(j: int) -> bool:
+            x = lines[filled[j]].strip(" \t\x0c")
+            return self.headlike(x, "", "") or bool(_NUMBER_LINE.match(x)) or page_number(x) is not None
+
         a, b = k - 1, k + 1
-        while a >= 0 and (self.headlike(lines[filled[a]], "", "") or _NUMBER_LINE.match(lines[filled[a]].strip(" \t\x0c"))):
+        while a >= 0 and passed(a):
             a -= 1
-        while b < len(filled) and (self.headlike(lines[filled[b]], "", "") or _NUMBER_LINE.match(lines[filled[b]].strip(" \t\x0c"))):
+        while b < len(filled) and passed(b):
             b += 1
         if a < 0 or b >= len(filled):
             return False

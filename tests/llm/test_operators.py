@@ -135,6 +135,15 @@ def test_p3_tells_scans_from_other_texts(spark):
     assert p3_scans.affected(stories(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("form", ["Page {} of 412", "{} of 412", "{}/412", "- {} / 412 -", "page {} of 4l2b"])
+def test_p3_reads_page_numbers_with_a_total(spark, form):
+    pages = f"They read the\n{form.format(215)}\nletter again.\n{form.format(216)}\nThe lantern was lit."
+    rows = [(f"c{i}", "The Tale", "Ann Author", CLEAN) for i in range(30)] + [("pages", "t", "a", pages), ("share", "t", "a", "The letter was read.\n\n3/4\n\nThe lantern was lit.")]
+    table = stories(spark, rows)
+    assert values(p3_scans.affected(table)) == [("pages",)]
+    assert values(p3_scans.repaired(table)) == [("pages", "They read the letter again. The lantern was lit.")]
+
+
 def test_p4_maps_values(spark):
     tags = spark.createDataFrame([(1, "sea witch"), (2, "tea witch"), (3, "haunted house"), (4, None), (5, "ünique thing")], "id bigint, name string")
     texts = ["#HauntedHouse", "house, haunted", "genre: haunted  house", "hauntedhouse", "haun. house", "hautned huose", "Haunted Houses", "sea witch", "sae witch", "quantum house", "haunted", "  ", None, "unique thing", "x" * 5000, "sea witch."]

@@ -1,11 +1,13 @@
 """Problem 9: passages of held-out test items inside a training corpus.
 
-Method: rare n-gram seeds, then Smith-Waterman alignment.  The seeds of an item are, for every window of
-``window`` consecutive words, its rarest run of SEED words, rarity being the number of corpus documents that
-hold the run (counted over all documents).  Every text that holds a whole window holds that window's seed, so no
-choice of seeds loses one, however often a passage leaked.  A document that holds a seed is aligned with the
-seed's items word by word (match 2, mismatch and gap -1), which also finds edited and paraphrased copies; the
-longest run of equal words inside the aligned part decides whether a whole window leaked.
+Method: n-gram seeds, then Smith-Waterman alignment.  The seeds of an item are, for every window of consecutive words, its
+rarest run of SEED words that the corpus holds, rarity being the number of corpus documents that hold the run (counted
+over all documents).  A document that holds a seed is aligned with the seed's items word by word (match 2, mismatch and
+gap -1); the longest run of equal words inside the aligned part decides whether a whole window leaked.
+
+``alignments`` takes windows of SEED words, so every run is a seed: an edited copy is found if one run of SEED words is
+left of it, whatever else the corpus holds.  ``leaked`` takes windows of WINDOW words: every text that holds one holds
+its seed, so no choice of seeds loses one, however often a passage leaked.
 
 The items are the bounded side.  They go to every task only in blocks of at most BLOCK_WORDS words; more items make
 more scans of the corpus, never a larger broadcast.  Documents are never shuffled: both passes are narrow scans, and only
@@ -106,7 +108,7 @@ class Items:
         self.grams = np.unique(self.runs)
 
     def choose(self, counts: np.ndarray) -> None:
-        """Seeds from the corpus counts of ``grams``: the rarest run of every window, the whole text if shorter."""
+        """Seeds from the corpus counts of ``grams``: the rarest run of every window that occurs, the whole text if shorter."""
         seeds, owners = [], []
         for i in range(len(self.ids)):
             own = self.runs[self.run_offsets[i] : self.run_offsets[i + 1]]
@@ -114,11 +116,12 @@ class Items:
                 continue
             count = counts[np.searchsorted(self.grams, own)]
             span = min(self.window - SEED + 1, len(own))
-            order = np.lexsort((own, count))
+            order = np.lexsort((own, count, count == 0))  # runs that no document holds join nothing: last, and left out
             rank = np.empty(len(own), np.int64)
             rank[order] = np.arange(len(own))
             windows = np.lib.stride_tricks.sliding_window_view(rank, span)
-            chosen = np.unique(own[order[np.unique(windows.min(1))]])
+            best = order[np.unique(windows.min(1))]
+            chosen = np.unique(own[best[count[best] > 0]])
             seeds.append(chosen)
             owners.append(np.full(len(chosen), i))
         seed, owner = (np.concatenate(x) for x in (seeds, owners)) if seeds else (np.zeros(0, U64), np.zeros(0, np.int64))
@@ -155,7 +158,7 @@ def _counts(documents: DataFrame, items: Items) -> np.ndarray:
     return out
 
 
-def alignments(documents: DataFrame, items: DataFrame, window: int = WINDOW, min_score: int = 2 * SEED) -> DataFrame:
+def alignments(documents: DataFrame, items: DataFrame, window: int = SEED, min_score: int = 2 * SEED) -> DataFrame:
     """(doc_id, item_id, score, longest_run, first_word, last_word) of every seeded pair scoring at least ``min_score``."""
     rows = items.select("item_id", "text").where("text is not null and item_id is not null").distinct().orderBy("item_id").toLocalIterator()
     blocks: list[tuple[list[int], list[str]]] = [([], [])]

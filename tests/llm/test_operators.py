@@ -265,6 +265,16 @@ def test_p9_equals_brute_force(spark):
     assert p9_leaks.leaked(d.where("false"), e).count() == 0 and p9_leaks.leaked(d, e.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("whole", [False, True])
+def test_p9_aligns_edited_copies(spark, whole):
+    item = prose(7, 60, 10_000)
+    edited = [f"new{k}" if k % 10 == 9 else w for k, w in enumerate(item)]
+    docs = [(0, " ".join(edited)), (1, " ".join(prose(8, 60)))] + [(2, " ".join(item))] * whole
+    d, e = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(5, " ".join(item))], "item_id bigint, text string")
+    assert values(p9_leaks.alignments(d, e), "doc_id", "item_id", "longest_run") == [(0, 5, 9)] + [(2, 5, 60)] * whole
+    assert values(p9_leaks.leaked(d, e)) == [(2, 5)] * whole
+
+
 def test_p9_alignment_scores_are_right():
     r = random.Random(1)
     pairs = [tuple(np.array([r.randint(1, 4) for _ in range(r.randint(1, 20))], np.uint64) for _ in range(2)) for _ in range(60)]

@@ -230,10 +230,11 @@ def attribute(stories: DataFrame, author_col: str = "author", work_col: str = "g
     spark = stories.sparkSession
     usual = spark.createDataFrame([(short, long) for short, longs in NICKNAMES.items() for long in longs.split()], "g string, formal string")
     works = candidates.groupBy("g").agg(F.sum("prior").alias("works"), F.count("*").alias("surnames"))
-    # Only names with the same beginning are held against each other, so a surname with very many given names stays small.
-    begin = lambda c: F.substring(c, 1, 3).alias("begin")
-    met = candidates.select("s", "g", begin("g")).join(candidates.select("s", F.col("g").alias("formal"), begin("g")), ["s", "begin"]).where("g <> formal").groupBy("g", "formal").agg(F.count("*").alias("both"))
-    learned = met.join(works, "g").join(works.select(F.col("g").alias("formal"), F.col("works").alias("formal_works")), "formal").where(f"both >= {LEARNED_FROM} and both >= {LEARNED_SHARE} * surnames and formal_works > works").select("g", "formal")
+    # Both names of a learned pair stand before LEARNED_FROM surnames and the formal one has more works, so rarer names never
+    # meet and each pair meets once; this leaves out no pair that could be learned.
+    often = candidates.select("s", "g").join(works.where(F.col("surnames") >= LEARNED_FROM), "g")
+    met = often.alias("a").join(often.alias("b"), F.expr("a.s = b.s and a.works < b.works")).groupBy(F.expr("a.g g"), F.expr("b.g formal"), F.expr("a.surnames surnames")).agg(F.count("*").alias("both"))
+    learned = met.where(f"both >= {LEARNED_FROM} and both >= {LEARNED_SHARE} * surnames").select("g", "formal")
     formal = candidates.select("s", F.col("g").alias("formal"), "prior")
     named = candidates.select("s", "g").join(usual.unionByName(learned).distinct(), "g").join(formal, ["s", "formal"]).groupBy("s", "g").agg(F.max(F.struct("prior", "formal")).alias("m")).select("s", "g", F.col("m.formal").alias("formal"))
     right = cut(right.join(named, ["s", "g"], "left").withColumn("g", F.coalesce("formal", "g")).drop("formal"))

@@ -232,6 +232,15 @@ def test_p7_links_spellings(spark):
     assert p7_names.linked(stories(spark, [])).count() == 0
 
 
+def test_p7_learns_short_forms_with_another_beginning(spark):
+    surnames = ["Barbabrack", "Salsapick", "Fenkachotte", "Mermopiman", "Zelkisampe"]
+    pairs = [(f"Carolina {s}", f"Lina {s}") for s in surnames]
+    others = [f"Oswin {s}" for s in surnames[:3]]
+    names = [long for long, _ in pairs for _ in range(6)] + [short for _, short in pairs] + others
+    table = stories(spark, [(str(i), None, a, None) for i, a in enumerate(names)])
+    assert values(p7_names.linked(table)) == sorted(pairs)
+
+
 def test_p8_equals_the_plain_encoder(spark):
     r = random.Random(4)
     alphabet = "ab '’s\n\t  .!\xa0　é日😩 x1٣<|>"

@@ -3,8 +3,10 @@
 Method: best-first graph search.  A state is a paragraph; an edge encodes it with one character encoding and
 decodes it with another, or unescapes HTML.  States are kept in a heap by their character-plausibility cost
 plus a small price per edge, visited states by hash, and the cheapest state reached is the restored paragraph.
-A paragraph is searched only if its own cost holds something implausible; a text is affected if the search found a
-clearly cheaper paragraph, or if it holds replacement characters (what they stood for is lost).
+A paragraph is searched only if its own cost holds something implausible; where something implausible is left, its lines and
+then its words are searched each by itself, so that places read in different encodings, or beside an unrelated odd character, are
+found.  A text is affected if the search found a clearly cheaper paragraph, or if it holds replacement characters (what they
+stood for is lost).
 
 The cost looks at each non-ASCII character with its two neighbours: controls, symbols inside words, scripts
 mixed in a word, capitals after small letters, letter pairs that are lead and continuation bytes.  It uses no
@@ -41,6 +43,10 @@ MULTI = tuple((a, b) for b in ("euc_jp", "shift_jis", "gb18030", "big5", "euc_kr
 EDGE, MARGIN, IMPLAUSIBLE, STATES = 0.6, 0.8, 0.8, 400
 _NON_ASCII = re.compile(r"[^\x00-\x7f]+")
 _ONE = re.compile(r"[^\x00-\x7f]")
+#: An encoding is tried on a paragraph if it holds this share of the different implausible characters.
+SHARE = 0.8
+#: Separators of ever smaller pieces of a paragraph, and the share there: any encoding is tried on a word.
+_PIECES = ((re.compile(r"(\n)"), SHARE), (re.compile(r"(\s+)"), 0.0))
 _PARAGRAPH = re.compile(r"(\n\s*\n)")
 _TYPOGRAPHY = frozenset("“”‘’—–…«»„")
 _RUSSIAN = frozenset("абвгдеёжзийклмнопрстуфхцчшщъыьэюяАБВГДЕЁЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ")
@@ -175,10 +181,10 @@ class Search:
         """The characters whose triples are implausible."""
         return {text[m.start()] for m in _ONE.finditer(text) if self.triple.get(text[m.start() - 1 : m.start() + 2] if m.start() else "\x00" + text[:2], 9.0) >= IMPLAUSIBLE}
 
-    def steps(self, text: str) -> Iterator[tuple[bool, str]]:
-        """(an UTF-8 step?, text) behind every edge that could have made the implausible characters."""
+    def steps(self, text: str, share: float) -> Iterator[tuple[bool, str]]:
+        """(an UTF-8 step?, text) behind every edge that could have made this share of the implausible characters, one at least."""
         bad = self.implausible(text)
-        need = 0.8 * len(bad)
+        need = max(share * len(bad), min(1, len(bad)))
         fits = {e: sum(c in byte_maps(e)[0] for c in bad) >= need for e in READERS}
         if "&" in text:
             yield False, html.unescape(text)
@@ -201,6 +207,20 @@ class Search:
                             pass
 
     def restore(self, paragraph: str) -> str:
+        """The paragraph restored as a whole, or in lines or words where that leaves something implausible and they come cheaper."""
+        best = self.search(paragraph)
+        left, bad = self.cost(best)
+        for separator, share in _PIECES:
+            if bad < IMPLAUSIBLE:
+                break
+            pieces = separator.split(paragraph)
+            if len(pieces) > 1 or share < SHARE:
+                text = "".join(x if x.isascii() else self.search(x, share) for x in pieces)
+                if text not in (best, paragraph) and self.cost(text)[0] < left:
+                    best, (left, bad) = text, self.cost(text)
+        return best
+
+    def search(self, paragraph: str, share: float = SHARE) -> str:
         """The cheapest text reachable, or the paragraph itself."""
         cost, bad = self.cost(paragraph)
         if bad < IMPLAUSIBLE:
@@ -215,7 +235,7 @@ class Search:
             if depth >= 3:
                 continue
             plausible = False
-            for utf8, text in self.steps(state):
+            for utf8, text in self.steps(state, share):
                 if plausible and not utf8:
                     break  # a whole UTF-8 reading isn't there by chance
                 key = hash(text)

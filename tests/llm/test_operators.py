@@ -315,6 +315,14 @@ def test_p10_restores_and_leaves_alone(spark):
     assert p10_encoding.affected(d.where("false")).count() == 0
 
 
+def test_p10_restores_mixed_paragraphs():
+    utf8, mac, russian = "café".encode().decode("cp1252"), "crème brûlée".encode().decode("mac_roman"), "Прохор починил".encode("cp1251").decode("cp1252")
+    mixed = [(f"a→b {utf8}", "a→b café"), (f"a→b{utf8}", "a→bcafé"), (f"{utf8} x→y {mac}", "café x→y crème brûlée"), (f"he sa→id {mac}\n{utf8} {russian}", "he sa→id crème brûlée\ncafé Прохор починил")]
+    search = p10_encoding.Search()
+    assert [search.text(wrong) for wrong, _ in mixed] == [(True, right) for _, right in mixed]
+    assert [search.text(t)[0] for t in ("a→b c▒d Ù Ú", "naïve x→y, “Ã”")] == [False, False]
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_against_sql(spark, data, name):
     compare(spark, data, name, queries.queries()[name], queries.oracle_sql()[name])

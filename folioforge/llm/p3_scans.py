@@ -17,6 +17,7 @@ rows that repeat an id give one row.
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -34,6 +35,8 @@ CELL_BITS, CHUNK = 21, 1 << 16
 TIMES, LEAST = 12, 4
 #: Misread letters without digits or signs that a story must show (one more sure kind of noise suffices alone).
 CONFUSIONS_NEEDED = 3
+#: Confusions by shape alone, which no typist makes.  One suffices in a word that is in no other story.
+BY_SHAPE = (("rn", "m"), ("m", "rn"), ("cl", "d"), ("d", "cl"), ("vv", "w"), ("w", "vv"))
 #: Usual confusions of a recogniser, as read and as printed.
 CONFUSIONS = (
     ("rn", "m"), ("m", "rn"), ("cl", "d"), ("d", "cl"), ("vv", "w"), ("w", "vv"), ("c", "e"), ("e", "c"), ("f", "t"), ("t", "f"), ("b", "h"), ("h", "b"), ("n", "u"), ("u", "n"),
@@ -124,12 +127,12 @@ class Page:
     """Findings in one text."""
 
     def __init__(self):
-        self.cuts = self.furniture = self.signs = self.confusions = 0
+        self.cuts = self.furniture = self.signs = self.confusions = self.shapes = 0
         self.drop: set[int] = set()
 
     @property
     def affected(self) -> bool:
-        return bool(self.cuts or self.furniture or self.signs or self.confusions >= CONFUSIONS_NEEDED)
+        return bool(self.cuts or self.furniture or self.signs or self.shapes or self.confusions >= CONFUSIONS_NEEDED)
 
 
 class Scans:
@@ -299,8 +302,19 @@ class Scans:
                 if right:
                     fixes[w] = right
                     page.confusions += 1
+                    page.shapes += own <= 1 and self.by_shape(text, w, right)
         return page, fixes
 
+    @staticmethod
+    def by_shape(text: str, word: str, right: str) -> bool:
+        """Was the word misread by shape alone?  Beside a character that can't be seen it is a piece of a disguised word."""
+        if not any(word[: m.start()] + b + word[m.end() :] == right for a, b in BY_SHAPE for m in re.finditer(a, word)):
+            return False
+        for m in re.finditer(r"(?<![^\W_])" + word + r"(?![^\W_])", text, re.I):
+            if any(unicodedata.category(c) in ("Cf", "Mn", "Cc") and c not in "\n\r\t\x0c" for c in text[max(0, m.start() - 1) : m.start()] + text[m.end() : m.end() + 1]):
+                return False
+        return True
+
     def repair(self, text: str, page: Page, fixes: dict[str, str]) -> str:
         lines = text.split("\n")
         kept: list[str] = []

@@ -144,6 +144,16 @@ def test_p3_reads_page_numbers_with_a_total(spark, form):
     assert values(p3_scans.repaired(table)) == [("pages", "They read the letter again. The lantern was lit.")]
 
 
+def test_p3_takes_one_word_misread_by_shape(spark):
+    rows = [(f"c{i}", "The Tale", "Ann Author", CLEAN) for i in range(30)]
+    rows += [("shape", "t", "a", "The lantem was lit and the letter was read."), ("unseen", "t", "a", "The lantem\u200b was lit."), ("slip", "t", "a", "The letter was lti and raed agian.")]
+    rows += [(f"often{i}", "t", "a", "The harbour was rnade.") for i in range(2)]
+    table = stories(spark, rows)
+    assert values(p3_scans.affected(table.where("id <> 'unseen'"))) == [("shape",)]
+    assert values(p3_scans.affected(table.where("id <> 'shape'"))) == []
+    assert values(p3_scans.repaired(table.where("id <> 'unseen'"))) == [("shape", "The lantern was lit and the letter was read.")]
+
+
 def test_p4_maps_values(spark):
     tags = spark.createDataFrame([(1, "sea witch"), (2, "tea witch"), (3, "haunted house"), (4, None), (5, "ünique thing")], "id bigint, name string")
     texts = ["#HauntedHouse", "house, haunted", "genre: haunted  house", "hauntedhouse", "haun. house", "hautned huose", "Haunted Houses", "sea witch", "sae witch", "quantum house", "haunted", "  ", None, "unique thing", "x" * 5000, "sea witch."]

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import gc
-import os
+import atexit
+import shutil
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
@@ -18,20 +18,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a checkpoint in the shared folder that ``spark.checkpoint.dir`` names.
 
-    A folder of our own is set only where the session has none, which is the case in local tests.
+    A cluster must name one that all executors see; only under a local master is a temporary folder of our own
+    set, as in tests.  Spark takes a checkpoint away when nothing refers to it any more, if
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        if context.master.startswith("local"):
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="folioforge-"))
-        else:
-            context.setCheckpointDir(os.path.join(df.sparkSession.conf.get("spark.sql.warehouse.dir"), "_checkpoints"))
-    written = df.checkpoint()
-    # Spark removes the shuffle files of a finished stage once nothing refers to it and the JVM has collected its garbage.
-    del df
-    gc.collect()
-    context._jvm.System.gc()
-    return written
+        named = context.getConf().get("spark.checkpoint.dir")
+        if named is None and not context.master.startswith("local"):
+            raise ValueError("name a folder that all executors see in spark.checkpoint.dir")
+        if named is None:
+            named = tempfile.mkdtemp(prefix="folioforge-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        context.setCheckpointDir(named)
+    return df.checkpoint()
 
 
 def per_batch(function: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]):

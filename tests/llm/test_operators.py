@@ -88,12 +88,41 @@ def test_p1_of_nothing(spark):
 
 
 def test_p1_packing_is_exact():
-    runs = np.array([5, 2**37 + 3, 5], np.uint64)
-    g, s, d, r = p1_reposts.unpack(p1_reposts.pack(np.array([9, 8], np.uint64), np.array([20, 30]), np.array([0, 1, 1]), runs))
-    assert g.tolist() == [9, 8] and s.tolist() == [20, 30] and sorted(zip(r.tolist(), d.tolist(), strict=True)) == [(5, 0), (5, 1), (2**37 + 3, 1)]
+    runs = np.array([1, 5, (1 << p1_reposts.HASH_BITS) - 1], np.uint64)
+    g, s, d, q, r = p1_reposts.unpack(p1_reposts.pack(np.array([9, 8], np.uint64), np.array([20, 30]), np.array([0, 1, 1]), runs, np.array([0, 7, 255])))
+    assert (g.tolist(), s.tolist(), d.tolist(), q.tolist(), r.tolist()) == ([9, 8], [20, 30], [0, 1, 1], [0, 7, 255], runs.tolist())
+    a, b, c = np.array([1, 1, 2, 9]), np.array([5, 4, 7, 3]), np.array([2, 70_000, 1, 4])
+    back = [np.concatenate(x).tolist() for x in zip(*(p1_reposts.unpack_pairs(v) for _, v in p1_reposts.pack_pairs(a, b, c, a + 1, True, 3)), strict=True)]
+    assert sorted(zip(*back, strict=True)) == [(1, 4, 65535, 2, 1), (1, 5, 2, 2, 1), (2, 7, 1, 3, 1), (9, 3, 4, 10, 1)]
+
+
+def repetitive():
+    """Texts whose runs repeat: over few words, logs, refrains."""
+    r = random.Random(3)
+    rows = [(f"few{i}", None, None, " ".join(r.choice("alder birch cedar dogwood elm fir gorse holly".split()) for _ in range(1500))) for i in range(4)]
+    for i in range(6):
+        own = random.Random(i % 3)
+        lines = [" ".join(own.choice(x) for x in (("north", "south", "east", "west"), ("gate", "door"), ("open", "shut", "stuck"))) for _ in range(100)]
+        rows.append((f"log{i}", None, None, " ".join(lines) + f" entry {i}"))
+    refrain = "o the wind and the rain came over the hill and over the sea again "
+    return rows + [(f"verse{i}", None, None, " ".join(refrain + " ".join(prose(k + 10 * (i == 2), 12)) for k in range(9))) for i in range(3)]
+
+
+def test_p1_is_exact_on_repetitive_texts_for_any_number_of_classes_and_hot_runs(spark, monkeypatch):
+    rows = repetitive()
+    want = brute_pairs(rows)
+    assert len(want) > 8
+    assert values(p1_reposts.reposts(stories(spark, rows))) == want
+    assert values(p1_reposts.reposts(stories(spark, rows), classes=50)) == want
+    monkeypatch.setattr(p1_reposts, "HOT_OWNERS", 3)
+    monkeypatch.setattr(p1_reposts, "HOT_BLOCK", 2)
+    # the hot runs are found by the worker, which takes the module's values from its own import
+    blocks = p1_reposts.Postings([p1_reposts.pack(np.arange(1, 10, dtype=np.uint64), np.full(9, 40), np.arange(9), np.zeros(9, np.uint64), np.zeros(9))])
+    hot = list(blocks.hot_blocks())
+    pairs = {(int(x), int(y)) for data in hot for a, b, _, _ in p1_reposts.hot_pairs(data) for x, y in zip(a, b, strict=True)}
+    assert pairs == set(combinations(range(1, 10), 2)) and not len(blocks.owner)
 
 
-@pytest.mark.parametrize("basket,heavy", [(4096, 1024), (4, 6), (4096, 1)])
 def test_p2_counts_all_pairs(spark, monkeypatch, basket, heavy):
     monkeypatch.setattr(p2_pairs, "BASKET", basket)
     monkeypatch.setattr(p2_pairs, "HEAVY_PARTS", heavy)

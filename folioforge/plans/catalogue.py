@@ -166,7 +166,7 @@ def queries() -> dict[str, Query]:
         "signature_ids": lambda x: files.with_hashes(x.stories.select(F.col("source_relpath").alias("relpath"), F.col("group_id").alias("group_key"), "part_index", "title", "author", F.coalesce("body_text", F.lit("")).alias("body_text"), F.array().cast("array<string>").alias("tags")), NOW).select("id", "group_id", "content_hash"),
         "adapter_fields": lambda x: adapters.PatternAdapter(title=r"<title>(.*?)</title>", author=r"\nby ([^\n<]+)", strip_html=True).apply(_page_text(x)).select("relpath", "title", "author"),
         "adapter_bodies": lambda x: adapters.PatternAdapter(title=r"<title>(.*?)</title>", author=r"\nby ([^\n<]+)", strip_html=True).apply(_page_text(x)).select("relpath", F.length("body_text").alias("chars")),
-        "article_text": lambda x: _page_text(x).select("relpath", adapters.container_udf("html", None, None)("text").alias("body")).select("relpath", F.length("body").alias("chars")),
+        "article_text": lambda x: _page_text(x).select("relpath", adapters.prose_udf("html")("text").alias("body")),
         # checks and events
         "repeated_story_ids": lambda x: duplicated(x.table("stories"), ["id"]),
         "orphan_links": lambda x: orphans(x.story_tags, "story_id", x.stories, "id").select("story_id", "tag_id"),

@@ -27,20 +27,52 @@ def test_signatures_are_split(spark, tmp_path):
     assert bad.count() == len(REQUIRED) + 1
 
 
-def test_archive_and_chapters(spark, tmp_path):
+def test_archive_and_folders(spark, tmp_path):
     tale = tmp_path / "the-tale"
     tale.mkdir()
-    page = '<meta name="story:author" content="A &amp; B"><meta name="story:tags" content="x, y,"><nav>no</nav><article id="content"><h1 class="story-title">Tale</h1><p>One\n  two.</p><script>no</script><p>Three</p></article>'
-    (tale / "index.html").write_text('<ol class="chapters"><a href="chapter-2.html"><a href="chapter-10.html"></ol>')
-    (tale / "chapter-2.html").write_text(page)
-    (tale / "chapter-10.html").write_text(page)
+    page = '<meta property="author" value="A &amp; B"><meta property="tags" value="x, y,"><nav>no</nav><main><h2>Tale</h2><p>One\n  two.</p><script>no</script><p>Three</p></main>'
+    (tale / "index.html").write_text('<table data-parts><a data-file="b.html"><a data-file="a.html"></table>')
+    for name in ("a", "b", "unlisted"):
+        (tale / f"{name}.html").write_text(page)
     (tmp_path / "note.txt").write_bytes(b"caf\xff")
     got = files.archive(spark, str(tmp_path), "*.html, *.txt,*.html")
-    assert got.count() == 4
+    assert got.count() == 5
     text = got.select("relpath", files.plain_text(got.content).alias("text"))
-    assert text.where("relpath = 'note.txt'").first().text == "caf�"
-    rows = adapters.ChapteredAdapter().apply(text)
-    assert values(rows, "group_key", "part_index", "title", "author", "body_text", "tags") == [("the-tale", 0, "Tale", "A & B", "One two.\n\nThree", ["x", "y"]), ("the-tale", 1, "Tale", "A & B", "One two.\n\nThree", ["x", "y"])]
+    assert text.where("relpath = 'note.txt'").first().text == "caf\ufffd"
+    rows = adapters.FolderAdapter(options={"skip": adapters.SKIPPED | {"h2"}}).apply(text)
+    same = ("Tale", "A & B", "One two.\n\nThree", ["x", "y"])
+    assert values(rows, "relpath", "group_key", "part_index", "title", "author", "body_text", "tags") == [(f"the-tale/{n}.html", "the-tale", k, *same) for n, k in (("a", 1), ("b", 0), ("unlisted", 0))]
+    loose = adapters.FolderAdapter(loose=True).apply(text)
+    assert values(loose.where("group_key = relpath"), "relpath") == [("note.txt",)]
+    assert adapters.FolderAdapter(no_works=("the-tale",)).apply(text).count() == 0
+
+
+@pytest.mark.parametrize("tag", sorted(adapters.BLOCKS))
+def test_blocks_make_paragraphs(tag):
+    assert adapters.prose(f"<main>a<{tag}>b</{tag}>c <i>d</i></main>", "main") == "a\n\nb\n\nc d"
+
+
+@pytest.mark.parametrize("tag", sorted(adapters.SKIPPED))
+def test_skipped_elements_hold_no_prose(tag):
+    # the first end tag of its name ends a skipped element, nested ones aren't counted
+    assert adapters.prose(f"<main>a<{tag}>b<{tag}>c</{tag}>d</main>", "main") == "ad"
+
+
+def test_containers():
+    page = "x<main id=k>a<main>b</main>c</main>d<main id=k>e<br>f<p class='x y'>g</p><nav>h</main>i<main>j</main>"
+    assert adapters.prose(page, "main", "id", "k", skip_classes=frozenset({("p", "y")})) == "abe f"
+    assert adapters.prose("<main>a &amp; b\n\n<p></p> c", "main") == "a & b\n\nc"
+    assert adapters.prose("", "main") == adapters.prose("no container", "main") == ""
+
+
+def one(text):
+    return {"title": text.upper(), "tags": ["t"]}
+
+
+def test_functions_are_adapters_by_their_number_of_arguments(spark):
+    rows = spark.createDataFrame([("a.txt", "x"), ("b.txt", None)], "relpath string, text string")
+    assert values(adapters.FunctionAdapter(one).apply(rows), "group_key", "title", "body_text", "tags") == [("a.txt", "X", None, ["t"]), ("b.txt", "", None, ["t"])]
+    assert values(adapters.FunctionAdapter(lambda t, p: {"body_text": p}).apply(rows), "body_text", "tags") == [("a.txt", []), ("b.txt", [])]
 
 
 def test_pattern_adapter(spark):

@@ -21,6 +21,7 @@ def queries() -> dict[str, Query]:
         "p3_found": lambda s, d: p3_scans.affected(table(s, d, "stories")),
         "p3_texts": lambda s, d: p3_scans.repaired(table(s, d, "stories")),
         "p4_found": lambda s, d: p4_canonical.resolve(table(s, d, "tag_candidates"), table(s, d, "tags")),
+        "p4_matches": lambda s, d: p4_canonical.matches(table(s, d, "tag_candidates"), table(s, d, "tags")),
         "p5_found": lambda s, d: p5_split.oversized(table(s, d, "stories")),
         "p5_pieces": lambda s, d: p5_split.split(table(s, d, "stories")),
         "p6_found": lambda s, d: p6_visible.disguised(table(s, d, "stories")),

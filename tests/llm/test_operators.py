@@ -213,15 +213,20 @@ def test_p4_trie_agrees_with_plain_distance():
 
     r = random.Random(1)
     names = ["".join(r.choice("abc") for _ in range(r.randrange(1, 8))) for _ in range(60)]
-    trie = p4_canonical.Trie([])
-    for k, name in enumerate(names):
-        node = trie.root
-        for c in name:
-            node = node.setdefault(c, {})
-        node.setdefault("", []).append((k, True))
-    for _ in range(200):
-        q = "".join(r.choice("abc") for _ in range(r.randrange(1, 8)))
-        assert dict((k, d) for d, k in trie.within(q, 2)) == {k: distance(q, n) for k, n in enumerate(names) if distance(q, n) <= 2}
+    trie = p4_canonical.Trie(list(enumerate(names)), paths=lambda x: [(x, True)])
+    asked = ["".join(r.choice("abc") for _ in range(r.randrange(1, 8))) for _ in range(200)] + ["", "zzz", "abc" * 30]
+    for most in (1, 2, 3):
+        for q, hits in zip(asked, trie.within(asked, most), strict=True):
+            assert dict((k, d) for d, k in hits) == {k: distance(q, n) for k, n in enumerate(names) if distance(q, n) <= most}
+    long = p4_canonical.Trie([(1, "ab" * 40)])  # beyond a machine word
+    assert long.within(["ab" * 39 + "ba", "ba" * 40], 3) == [[(1, 1)], [(2, 1)]]
+
+
+def test_p4_all_entries_within_distance(spark):
+    tags = spark.createDataFrame([(1, "sea witch"), (2, "tea witch"), (3, "ab")], "id bigint, name string")
+    rows = spark.createDataFrame([(1, "Sea  Witch"), (2, "see witch"), (3, "Sea  Witch"), (4, None), (5, " "), (6, "ac")], "id bigint, tag_text string")
+    assert values(p4_canonical.matches(rows, tags)) == [("Sea  Witch", 1, 0), ("Sea  Witch", 2, 1), ("see witch", 1, 1), ("see witch", 2, 2)]
+    assert p4_canonical.matches(rows, tags.where("false")).count() == 0
 
 
 def test_p5_pieces_are_whole_and_overlap(spark):

@@ -12,7 +12,14 @@ The cost looks at each non-ASCII character with its two neighbours: controls, sy
 mixed in a word, capitals after small letters, letter pairs that are lead and continuation bytes.  It uses no
 table of the corpus, so it behaves alike at every size; costs of seen triples are remembered per worker.
 
-A narrow scan: no shuffle.  Defined results: null and plain ASCII texts are never affected; every affected row comes out
+An ASCII paragraph is searched if it holds character entities, from what they stand for; entities of a text that was
+read rightly don't make it affected.
+
+Bounds of the search: MOST_STEPS misreadings in a row; encodings of several bytes only where LEAST_MULTI characters and a
+third of the piece aren't ASCII; once a UTF-8 reading leaves nothing implausible, single-byte readings of the same text aren't
+tried, as such a reading isn't there by chance.  The number of states isn't limited.
+
+A narrow scan: no shuffle.  Defined results: null and plain ASCII texts without entities are never affected; every affected row comes out
 once under its own doc_id, repeated texts included; what can't be restored stays as it is.
 """
 
@@ -40,7 +47,11 @@ READ_AS = (
     ("cp437", "cp1251"), ("cp437", "cp866"), ("cp866", "koi8_r"), ("koi8_r", "cp866"), ("iso8859_5", "cp1251"), ("cp1251", "iso8859_5"), ("mac_roman", "cp1251"), ("cp1252", "cp1253"), ("latin_1", "cp1253"), ("cp1252", "cp1254"), ("cp1250", "iso8859_2"), ("iso8859_2", "cp1250"), ("cp1253", "cp1252"), ("cp1251", "mac_cyrillic"), ("mac_cyrillic", "cp1251"),
 )
 MULTI = tuple((a, b) for b in ("euc_jp", "shift_jis", "gb18030", "big5", "euc_kr") for a in ("cp1251", "latin_1", "cp1252", "koi8_r", "iso8859_5", "iso8859_2", "cp437", "mac_roman"))
-EDGE, MARGIN, IMPLAUSIBLE, STATES = 0.6, 0.8, 0.8, 400
+#: Price of an edge, gain that a restored text must show, cost of one character from which it counts as implausible, and
+#: misreadings in a row that are undone.
+EDGE, MARGIN, IMPLAUSIBLE, MOST_STEPS = 0.6, 0.8, 0.8, 3
+#: Encodings of several bytes are tried on pieces with so many non-ASCII characters, a third of the piece at least.
+LEAST_MULTI = 4
 _NON_ASCII = re.compile(r"[^\x00-\x7f]+")
 _ONE = re.compile(r"[^\x00-\x7f]")
 #: An encoding is tried on a paragraph if it holds this share of the different implausible characters.
@@ -122,6 +133,8 @@ def triple_cost(p: str, c: str, n: str) -> float:
     if kind in "OM":
         if 0xFF61 <= o < 0xFFA0:
             return 1.0
+        if 0x3131 <= o < 0x3190 and any(x and 0x4E00 <= ord(x) < 0xD7A4 for x in (p, n)):
+            return 1.0  # a Korean letter by itself beside syllables or ideographs
         han = 0x3400 <= o < 0xA000 or o >= 0x20000
         return (0.3 if han else 0.1) + (1.5 if pk in "LC" or nk in "LC" else 0.0)
     if 0x3000 <= o < 0x3040 or 0xFF00 <= o < 0xFF61:
@@ -195,7 +208,7 @@ class Search:
             if fits[read]:
                 yield False, text.translate(char_map(read, was))
         upper = sum(len(m) for m in _NON_ASCII.findall(text))
-        if upper > 8 and 3 * upper > len(text):
+        if upper >= LEAST_MULTI and 3 * upper > len(text):
             for read, was in MULTI:
                 if fits[read]:
                     to_byte, _ = byte_maps(read)
@@ -228,11 +241,11 @@ class Search:
         heap = [(cost, 0, paragraph)]
         seen = {hash(paragraph)}
         best, done = (cost - MARGIN, paragraph), False
-        while heap and len(seen) < STATES:
+        while heap:
             f, depth, state = heapq.heappop(heap)
             if done and f > best[0] + 4 * EDGE:
                 break
-            if depth >= 3:
+            if depth >= MOST_STEPS:
                 continue
             plausible = False
             for utf8, text in self.steps(state, share):
@@ -253,12 +266,16 @@ class Search:
 
     def text(self, text: str) -> tuple[bool, str]:
         """(affected, restored text)."""
-        if text.isascii():
+        if text.isascii() and "&" not in text:
             return False, text
         parts = _PARAGRAPH.split(text)
         for i, p in enumerate(parts):
             if not p.isascii():
                 parts[i] = self.restore(p)
+            elif "&" in p and not (plain := html.unescape(p)).isascii():
+                # entities alone are no wrong encoding; what they stand for may be
+                found = self.restore(plain)
+                parts[i] = found if found != plain else p
         new = "".join(parts)
         return new != text or "�" in text, new
 

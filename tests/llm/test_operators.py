@@ -360,6 +360,17 @@ def test_p10_restores_and_leaves_alone(spark):
     assert p10_encoding.affected(d.where("false")).count() == 0
 
 
+def test_p10_entities_and_japanese():
+    search = p10_encoding.Search()
+    assert search.text("caf&Atilde;&copy; and na&Atilde;&macr;ve") == (True, "café and naïve")
+    assert search.text("ein Weg\n\nSch&#195;&#182;n &amp; gut") == (True, "ein Weg\n\nSchön & gut")
+    for plain in ("caf&eacute; &amp; &lt;p&gt; &mdash; &copy; 2001", "AT&T & co", "&;&x;&#;"):
+        assert search.text(plain) == (False, plain)
+    japanese = "その夜、灯子は木の舟を売った。"
+    assert search.text(japanese.encode("euc_jp").decode("cp1251")) == (True, japanese)
+    assert search.text("한국어 문장입니다. ㅋㅋㅋ") == (False, "한국어 문장입니다. ㅋㅋㅋ")
+
+
 def test_p10_restores_mixed_paragraphs():
     utf8, mac, russian = "café".encode().decode("cp1252"), "crème brûlée".encode().decode("mac_roman"), "Прохор починил".encode("cp1251").decode("cp1252")
     mixed = [(f"a→b {utf8}", "a→b café"), (f"a→b{utf8}", "a→bcafé"), (f"{utf8} x→y {mac}", "café x→y crème brûlée"), (f"he sa→id {mac}\n{utf8} {russian}", "he sa→id crème brûlée\ncafé Прохор починил")]

@@ -5,9 +5,9 @@ lines whose numbers go up from page to page; both go out.  The remaining lines a
 by what the vocabulary of the corpus says of the joined word.  Misread letters are undone where a rare word turns into a
 common one by a usual confusion of the recogniser.
 
-The vocabulary is two tables of fixed size with the number of stories that hold the words of each hashed cell, counted over
-all stories and sent to every task; a word's count is the smaller of its two cells.  So the second pass is a narrow scan,
-whatever the number of words.
+The vocabulary is two tables with the number of stories that hold the words of each hashed cell, counted over all stories and
+sent to every task; a word's count is the smaller of its two cells.  The tables grow with the bytes of text, far more than the
+different words do, up to 2**MOST_BITS cells of two bytes.  So the second pass is a narrow scan.
 
 What is no noise: line breaks between whole words, verse, headings of the author's own (Chapter 2, 5., § 3), words in
 dialect and slips of a typist.  Defined results: null, empty and clean texts come out neither as affected nor repaired;
@@ -16,6 +16,7 @@ rows that repeat an id give one row.
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 import zlib
@@ -30,7 +31,10 @@ from pyspark.sql import functions as F
 from folioforge.llm.common import texts_of
 from folioforge.llm.textcore import U64, word_hashes
 
-CELL_BITS, CHUNK = 21, 1 << 16
+#: Cells of a table: one per so many bytes of text, between the two powers of two.
+BYTES_PER_CELL, LEAST_BITS, MOST_BITS, CHUNK = 64, 16, 25, 1 << 16
+#: Counts lie in two bytes as logarithms, exact up to a thousand and to one part in 2,900 above.
+STEPS = 2048
 #: A misread word is rarer than the right one by this factor at least.
 TIMES, LEAST = 12, 4
 #: Misread letters without digits or signs that a story must show (one more sure kind of noise suffices alone).
@@ -56,55 +60,57 @@ _HEAD_NUMBER = re.compile(r"^(?:(?P<a>\d{1,4})\W+(?P<x>\D.*?)|(?P<y>\D.*?)\W+(?P
 _HEADING = re.compile(r"^\W*(?:(?:chapter|part|book|section|canto|act|scene|§)\W*\w+\W*|\d+\.|[ivxlc]+\.?)$", re.I)
 
 
-def cells_of(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def cells_of(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """A word's places in the two tables."""
-    size = (1 << CELL_BITS) - 1
-    return (h >> U64(64 - CELL_BITS)).astype(np.int64), ((h >> U64(20)).astype(np.int64) & size) + size + 1
+    size = (1 << bits) - 1
+    return (h >> U64(64 - bits)).astype(np.int64), ((h >> U64(20)).astype(np.int64) & size) + size + 1
+
+
+def coded(counts: np.ndarray) -> np.ndarray:
+    return np.minimum(np.rint(STEPS * np.log2(1.0 + counts)), 65535).astype(np.uint16)
 
 
 def looked_up(cells: np.ndarray, h: np.ndarray) -> np.ndarray:
-    a, b = cells_of(h)
-    return np.minimum(cells[a], cells[b]).astype(np.int64)
+    a, b = cells_of(h, len(cells).bit_length() - 2)
+    return np.rint(np.exp2(np.minimum(cells[a], cells[b]) / STEPS) - 1).astype(np.int64)
+
+
+def counted(texts: list, bits: int, total: np.ndarray) -> None:
+    """Adds to ``total`` how many of the texts hold the words of each cell."""
+    h, at = word_hashes(texts)
+    doc = np.repeat(np.arange(len(at) - 1), np.diff(at)) << (bits + 1)
+    for cell in cells_of(h, bits):
+        place, many = np.unique(np.unique(doc | cell) & ((2 << bits) - 1), return_counts=True)
+        total[place] += many.astype(total.dtype)
 
 
 def vocabulary(texts: DataFrame) -> tuple[np.ndarray, int]:
-    """(number of texts by hashed cell of the word, number of texts)."""
+    """(coded number of texts by hashed cell of the word, number of texts)."""
+    column = texts.columns[0]
+    size = texts.agg(F.sum(F.octet_length(column)).alias("s"), F.count(column).alias("n")).first()
+    bits = min(max(math.ceil(math.log2((size.s or 0) / BYTES_PER_CELL + 1)), LEAST_BITS), MOST_BITS)
 
     def count(batches: Iterator[pa.RecordBatch]):
-        total, docs = np.zeros(2 << CELL_BITS, np.uint32), 0
+        total = np.zeros(2 << bits, np.uint32)
         for batch in batches:
-            h, at = word_hashes(texts_of(batch, 0))
-            docs += batch.num_rows
-            for cell in cells_of(h):
-                key = np.unique((np.repeat(np.arange(len(at) - 1), np.diff(at)) << (CELL_BITS + 1)) | cell)
-                total += np.bincount(key & ((2 << CELL_BITS) - 1), minlength=len(total)).astype(np.uint32)
+            counted(texts_of(batch, 0), bits, total)
         for c in range(0, len(total), CHUNK):
             part = total[c : c + CHUNK]
             if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([c], pa.int64()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary()), pa.array([0], pa.int64())], names=["c", "v", "n"])
-        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([b""], pa.binary()), pa.array([docs], pa.int64())], names=["c", "v", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([c], pa.int64()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=["c", "v"])
 
     def add(batches: Iterator[pa.RecordBatch]):
         sums: dict[int, np.ndarray] = {}
-        docs = 0
         for batch in batches:
-            for c, v, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                docs += n
-                if c >= 0:
-                    sums[c] = sums.get(c, 0) + np.frombuffer(zlib.decompress(v), np.uint32)
+            for c, v in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
+                sums[c] = sums.get(c, 0) + np.frombuffer(zlib.decompress(v), np.uint32).astype(np.int64)
         for c, v in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int64()), pa.array([zlib.compress(v.astype(np.uint32).tobytes(), 1)], pa.binary()), pa.array([0], pa.int64())], names=["c", "v", "n"])
-        if docs:
-            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([b""], pa.binary()), pa.array([docs], pa.int64())], names=["c", "v", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int64()), pa.array([zlib.compress(coded(v).tobytes(), 1)], pa.binary())], names=["c", "v"])
 
-    cells, docs = np.zeros(2 << CELL_BITS, np.uint32), 0
-    kind = "c bigint, v binary, n bigint"
+    cells, kind = np.zeros(2 << bits, np.uint16), "c bigint, v binary"
     for row in texts.mapInArrow(count, kind).repartition("c").mapInArrow(add, kind).collect():
-        if row.c < 0:
-            docs += row.n
-        else:
-            cells[row.c : row.c + CHUNK] = np.frombuffer(zlib.decompress(row.v), np.uint32)
-    return cells, docs
+        cells[row.c : row.c + CHUNK] = np.frombuffer(zlib.decompress(row.v), np.uint16)
+    return cells, size.n
 
 
 def loosened(line: str) -> str:
@@ -365,7 +371,7 @@ class Scans:
 
 def _scan(stories: DataFrame, schema: str, build) -> DataFrame:
     cells, docs = vocabulary(stories.select("body_text").where("body_text is not null"))
-    table = stories.sparkSession.sparkContext.broadcast((cells, docs))  # 2 * 2**CELL_BITS counts, whatever the data
+    table = stories.sparkSession.sparkContext.broadcast((cells, docs))  # at most 2 * 2**MOST_BITS counts
 
     def run(batches: Iterator[pa.RecordBatch]):
         scans = Scans(*table.value)

@@ -7,6 +7,7 @@ import os
 import uuid
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +21,7 @@ def schema_of(text: str) -> T.StructType:
     return T.StructType([T.StructField(n, _KINDS[k]) for n, k in (x.split() for x in text.split(","))])
 
 
+#: The tables of a library with their columns and types.
 SCHEMAS: dict[str, T.StructType] = {
     "stories": schema_of("id string, group_id string, part_index int, title string, author string, body_text string, source_relpath string, content_hash string, ingested_at string, status string, removed_at string, media_path string"),
     "tag_candidates": schema_of("id bigint, story_id string, tag_text string, prompt_version string, model string, created_at string, status string, job_id bigint"),
@@ -104,36 +106,83 @@ def require_unique(df: DataFrame, keys: list[str]) -> DataFrame:
 # -- snapshots -------------------------------------------------------------------------------------------
 
 
-def commit(root: str, tables: dict[str, DataFrame]) -> str:
-    """Writes a snapshot beside the older ones and then turns the pointer to it; a reader sees one or the other.
+class Conflict(RuntimeError):
+    """Another writer committed first."""
 
-    Tables that aren't given are taken over from the current snapshot by reference.
-    """
-    os.makedirs(root, exist_ok=True)
-    now = current(root)
-    name = uuid.uuid4().hex[:12]
-    where = dict(now)
-    for table, df in tables.items():
-        target = os.path.join(root, name, f"{table}.parquet")
-        df.write.parquet(target)
-        where[table] = target
-    pointer = os.path.join(root, f".{name}.json")
-    with open(pointer, "w", encoding="utf-8") as f:
-        json.dump(where, f, indent=1)
-    os.replace(pointer, os.path.join(root, "current.json"))
-    return name
+
+def _place(path: str):
+    """(file system, path) of the session's Hadoop configuration: local, HDFS or an object store."""
+    spark = SparkSession.getActiveSession()
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsc.hadoopConfiguration()), there
+
+
+def versions(root: str) -> list[int]:
+    fs, folder = _place(f"{root}/versions")
+    return sorted(int(x.getPath().getName()[:-5]) for x in fs.listStatus(folder) if x.getPath().getName().endswith(".json")) if fs.exists(folder) else []
+
+
+def _version(root: str, number: int) -> dict[str, str] | None:
+    try:
+        return json.loads(SparkSession.getActiveSession().read.text(f"{root}/versions/{number:010d}.json", wholetext=True).first()[0])
+    except (TypeError, ValueError):
+        return None  # still being written, or its writer was lost
+
+
+def current_version(root: str) -> tuple[int, dict[str, str]]:
+    """(number, table name to path) of the newest whole version; (0, {}) if there is none."""
+    for number in reversed(versions(root)):
+        if (where := _version(root, number)) is not None:
+            return number, where
+    return 0, {}
 
 
 def current(root: str) -> dict[str, str]:
-    """Table name to path of the current snapshot; empty if there is none."""
+    return current_version(root)[1]
+
+
+def commit(root: str, tables: dict[str, DataFrame], base: int | None = None) -> int:
+    """Writes tables beside the older ones and then a version that names them; a reader sees one version or another.
+
+    Tables that aren't given are taken over by reference.  The version file is created only if it isn't there, and with
+    ``base``, the version that the tables were made from, only if that is still the newest: so two writers can't lose an
+    update, one of them gets ``Conflict``.
+    """
+    now, where = current_version(root)
+    if base is not None and base != now:
+        raise Conflict(f"version {now} was committed after {base}")
+    where, name = dict(where), uuid.uuid4().hex[:12]
+    for table, df in tables.items():
+        where[table] = f"{root}/{name}/{table}.parquet"
+        df.write.parquet(where[table])
+    number = max(versions(root), default=0) + 1
+    if base is not None and current_version(root)[0] != base:
+        raise Conflict(f"another version was committed after {base}")
+    fs, path = _place(f"{root}/versions/{number:010d}.json")
     try:
-        with open(os.path.join(root, "current.json"), encoding="utf-8") as f:
-            return json.load(f)
-    except FileNotFoundError:
-        return {}
+        out = fs.create(path, False)
+    except Py4JJavaError as e:
+        raise Conflict(f"version {number} exists") from e
+    out.write(bytearray(json.dumps(where).encode()))
+    out.close()
+    return number
 
 
-def opened(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """The tables of the current snapshot, evolved; tables that were never written are empty."""
-    paths = current(root)
+def opened(spark: SparkSession, root: str, number: int | None = None) -> dict[str, DataFrame]:
+    """The tables of a version, the newest if none is named, evolved; tables that were never written are empty."""
+    paths = current(root) if number is None else _version(root, number) or {}
     return {name: evolve(spark.read.parquet(paths[name]), name) if name in paths else spark.createDataFrame([], schema) for name, schema in SCHEMAS.items()}
+
+
+def backup(root: str, target: str) -> int:
+    """A copy of the newest version as a library of its own; writers may go on meanwhile, as versions don't change."""
+    spark = SparkSession.getActiveSession()
+    return commit(target, {name: spark.read.parquet(path) for name, path in current(root).items()})
+
+
+def ready(root: str) -> bool:
+    """Is there a version whose tables can be read with all columns that have no default?"""
+    spark = SparkSession.getActiveSession()
+    paths = current(root)
+    lacking = [name for name, path in paths.items() if {f.name for f in SCHEMAS[name].fields} - set(spark.read.parquet(path).columns) - set(ADDED.get(name, ()))]
+    return bool(paths) and not lacking

@@ -88,15 +88,23 @@ def test_pattern_adapter(spark):
 
 
 def test_registry_and_settings(tmp_path):
-    r = registry.Registry(str(tmp_path / "x" / "libraries.json"))
-    assert r.load() == {"active": None, "libraries": {}}
-    r.ensure("a", "/a"), r.register("b", "/b"), r.ensure("a", "/other")
-    assert r.load() == {"active": "a", "libraries": {"a": "/a", "b": "/b"}}
+    path = str(tmp_path / "x" / "libraries.json")
+    assert registry.load(path) == registry.EMPTY
+    (tmp_path / "bad.json").write_text("[1")
+    assert registry.load(str(tmp_path / "bad.json")) == registry.EMPTY
+    assert registry.served(path, "a", "/a") == "/a"
+    registry.store(path, "register", "b", "/b")
+    assert registry.served(path, "b", "/other") == "/a"
+    assert registry.load(path) == ("a", (("a", "/a"), ("b", "/b")))
     with pytest.raises(KeyError):
-        r.set_active("zzz")
-    assert r.rename("a", "c")["active"] == "c" and r.unregister("c")["active"] == "b"
+        registry.store(path, "activate", "zzz")
+    with pytest.raises(KeyError):
+        registry.store(path, "rename", "zzz", "y")
+    assert registry.store(path, "rename", "a", "c") == ("c", (("b", "/b"), ("c", "/a")))
+    assert registry.store(path, "unregister", "c") == ("b", (("b", "/b"),))
+    assert registry.store(path, "unregister", "b") == registry.EMPTY
     path = str(tmp_path / "settings.json")
-    assert registry.update_settings(path, theme="neon", model="m", junk=1) == registry.DEFAULTS | {"model": "m"}
+    assert registry.update_settings(path, theme="neon", default_embed_model="m", junk=1) == registry.DEFAULTS | {"default_embed_model": "m"}
 
 
 def test_drop_folder_is_picked_up_once(spark, tmp_path):

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 ACCENTED = "àáâãäåāăąçćčďèéêëēėęěìíîïīįñńňòóôõöōőŕřśšşťţùúûüūůűųýÿžźżğ"
 PLAIN = "aaaaaaaaacccdeeeeeeeeiiiiiinnnooooooorrsssttuuuuuuuuyyzzzg"
 TOKEN = r"[\p{L}\p{N}]+"
+#: Any blank, Unicode ones too.
+BLANK = r"[\s\p{Z}\x0B\x1C-\x1F\x85]"
 ARTICLES = ("a", "an", "the")
 
 
@@ -59,19 +61,22 @@ def escape_html(c: Column) -> Column:
 
 def paragraphs(c: Column) -> Column:
     """Paragraphs with their blanks collapsed, empty ones left out, an empty line between."""
-    parts = F.transform(F.split(c, r"\n\s*\n"), lambda p: F.trim(F.regexp_replace(p, r"\s+", " ")))
+    parts = F.transform(F.split(c, rf"\n{BLANK}*\n"), lambda p: F.trim(F.regexp_replace(p, f"{BLANK}+", " ")))
     return F.array_join(F.filter(parts, lambda p: p != ""), "\n\n")
 
 
+def stripped(c: Column) -> Column:
+    return F.regexp_replace(c, f"^{BLANK}+|{BLANK}+$", "")
+
+
 def normalized_tags(c: Column) -> Column:
     """Tag texts trimmed and lower-cased, what follows the last colon, blanks and repeats left out, order kept."""
-    strip = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
-    one = F.transform(c, lambda t: strip(F.substring_index(F.lower(strip(t)), ":", -1)))
+    one = F.transform(c, lambda t: stripped(F.substring_index(F.lower(stripped(t)), ":", -1)))
     return F.array_distinct(F.filter(one, lambda t: t.isNotNull() & (t != "")))
 
 
 def comma_list(c: Column) -> Column:
-    return F.filter(F.transform(F.split(c, ","), lambda t: F.regexp_replace(t, r"^\s+|\s+$", "")), lambda t: t != "")
+    return F.filter(F.transform(F.split(c, ","), stripped), lambda t: t != "")
 
 
 def duration(seconds: Column) -> Column:

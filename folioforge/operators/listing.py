@@ -58,7 +58,7 @@ def page_offset(number: int, size: int) -> tuple[int, int]:
 
 def parse_ids(raw: str) -> list[int]:
     """Ids of a comma list; parts that are no numbers are left out, repeats stay."""
-    return [int(p) for p in map(str.strip, raw.split(",")) if p.isdigit()]
+    return [int(p) for p in map(str.strip, raw.split(",")) if p.isdecimal()]
 
 
 def browse(library: Library, include: tuple[int, ...] = (), exclude: tuple[int, ...] = (), limit: int | None = 50, offset: int = 0) -> DataFrame:

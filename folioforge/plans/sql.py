@@ -62,14 +62,15 @@ from b join reps on reps.group_id = b.group_id left join s g on g.group_id = b.g
 
 TAGS = "n as (select tag_id, count(*) n from l group by 1), tc as (select id, name, coalesce(n, 0) story_count from tags left join n on id = tag_id)"
 SITE = "sn as (select code, count(distinct story_id) n from story_site_tags group by 1), sc as (select t.code, label, coalesce(n, 0) story_count from site_tags t left join sn on sn.code = t.code)"
-FIRST, GROUP = "(select min(id) from stories)", "(select max(group_id) from stories)"
-AUTHOR, NOW = "Ottoline Quenbrask", "2026-01-01T00:00:00Z"
+FIRST, NOW = "(select min(id) from stories)", "2026-01-01T00:00:00Z"
+GROUP = "(select group_id from s group by 1 order by count(*) desc, group_id limit 1)"
+AUTHOR = "(select author from s where status = 'active' and author is not null group by 1 order by count(distinct group_id) desc, author limit 1)"
+TAGGED = "(select story_id from story_site_tags group by 1 order by count(distinct code) desc, story_id limit 1)"
 JOBS = "select j.id, type, status, prompt_id, p.name prompt_name, model, scope, total, done, failed, j.created_at from jobs j left join prompts p on p.id = prompt_id"
 PENDING = "pe as (select distinct story_id, tag_id, job_id from story_tags where source = 'model')"
 LINK_COLUMNS = "story_id, tag_id, source, job_id"
 VEC = "list_dot_product(cast(x.embedding as double[]), cast(y.embedding as double[]))"
 NORM = "sqrt(list_dot_product(cast({0}.embedding as double[]), cast({0}.embedding as double[])))"
-PAGES = "pg as (select 'd/page_' || doc_id || '.html' relpath, title, source from documents where text is not null and title is not null)"
 
 
 def _cluster_ctes() -> str:
@@ -105,14 +106,14 @@ from ac left join cu on cu.id = ac.id"""
         "count_stories_for_tag": f"with {LISTING} select count(distinct group_id) works from a where group_id in {_groups('1')}",
         "stories_for_site_tag": _page("group_id in (select group_id from a join story_site_tags t on t.story_id = a.id where code = 'fa')"),
         "count_stories_for_site_tag": f"with {LISTING} select count(distinct group_id) works from a join story_site_tags t on t.story_id = a.id where code = 'fa'",
-        "stories_for_author": _page(f"author = '{AUTHOR}'", "limit 50"),
-        "count_stories_for_author": f"with {LISTING} select count(distinct group_id) works from a where author = '{AUTHOR}'",
-        "more_by_author": _page(f"author = '{AUTHOR}' and group_id <> {GROUP}", "limit 10"),
+        "stories_for_author": _page(f"author = {AUTHOR}", "limit 50"),
+        "count_stories_for_author": f"with {LISTING} select count(distinct group_id) works from a where author = {AUTHOR}",
+        "more_by_author": _page(f"author = {AUTHOR} and group_id <> {GROUP}", "limit 10"),
         "group_parts": f"with {STORIES} select id, part_index, title, status from s where group_id = {GROUP}",
         "removed_stories": f"with {STORIES} select id, title, author, removed_at from s where status = 'removed' order by removed_at desc, id limit 50",
         "count_removed": f"with {STORIES} select count(*) stories from s where status = 'removed'",
         "story_by_id": f"with {STORIES} select id, title, content_hash from s where id = {FIRST}",
-        "random_sample_size": "select 10 stories",
+        "random_sample_size": "select least(10, count(distinct id)) stories, least(10, count(distinct id)) ids, least(10, count(distinct id)) active from stories where status = 'active'",
         "tag_counts": f"with {LINKS}, {TAGS} select * from tc",
         "site_tag_counts": f"with {SITE} select * from sc",
         "tag_autocomplete": f"with {LINKS}, {TAGS} select * from tc where {_like('name', 'wid_wed')} order by story_count desc, name limit 20",
@@ -122,7 +123,7 @@ from ac left join cu on cu.id = ac.id"""
         "count_site_tags": f"select count(*) n from site_tags where {_like('label', 's')}",
         "count_prompts": f"select count(*) n from prompts where {_like('name', 'tone')}",
         "tags_of_story": f"with {LINKS} select id, name, source, confidence from tags join l on tag_id = id where story_id = {FIRST}",
-        "site_tags_of_story": f"select distinct t.code, label from site_tags t join story_site_tags x on x.code = t.code where story_id = {FIRST}",
+        "site_tags_of_story": f"select distinct t.code, label from site_tags t join story_site_tags x on x.code = t.code where story_id = {TAGGED}",
         "prompts_page": "select id, name, based_on_id, created_at from prompts order by created_at desc, id limit 20",
         "prompt_lineage": "select a.id, a.name, b.id parent_id, b.name parent_name from prompts a join prompts b on a.based_on_id = b.id",
         "tag_by_name": "select id, name from tags where name = 'sea witch'",
@@ -186,9 +187,8 @@ select vec_id, label nearest, round(sim, 5) similarity from (select *, row_numbe
         "durations": "with d as (select id, total * 97 * id * id s from jobs) select id, case when s >= 86400 then '~' || s // 86400 || 'd ' || s % 86400 // 3600 || 'h' when s >= 3600 then '~' || s // 3600 || 'h ' || s % 3600 // 60 || 'm' when s >= 60 then '~' || s // 60 || 'm' else '<1m' end as text from d",
         "signature_ids": f"with {STORIES} select sha1(source_relpath) id, sha1(group_id) group_id, sha1(coalesce(body_text, '')) content_hash from s",
         "repeated_story_ids": "select id, count(*) as rows from stories group by 1 having count(*) > 1",
-        "orphan_links": "select story_id, tag_id from story_tags where story_id not in (select id from stories)",
+        "orphan_links": f"with {STORIES} select story_id, tag_id from story_tags where story_id not in (select id from s where status = 'active')",
         "latest_rows": f"with {STORIES} select id, ingested_at, status from s",
         "event_windows": "select time_bucket(interval 1 hour, ts) as start, event_type, count(*) n, round(sum(value), 4) total from events group by 1, 2",
         "scope_words": "select id, case when scope like '{%' then json_extract_string(scope, '$.limit') end most, case when scope like '{%' then null else scope end word from jobs",
-        "adapter_fields": f"with {PAGES} select relpath, trim(title) title, trim(source) author from pg",
     }

@@ -62,7 +62,7 @@ def split_signatures(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     judged = raw.withColumn("reason", reason)
     good = judged.where("reason is null").select("file", F.from_json("text", SIGNATURE).alias("s")).select("file", "s.*")
     good = good.withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
-    return good.orderBy("file"), judged.where("reason is not null").select("file", "reason")
+    return good, judged.where("reason is not null").select("file", "reason")
 
 
 def write_signatures(records: DataFrame, folder: str) -> None:

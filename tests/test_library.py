@@ -62,14 +62,27 @@ def test_pages_and_id_lists():
 
 def test_search_rules(spark):
     lib = Fake(spark, stories=[story("a", body="foo bar <b>& café"), story("b", body="bar foo"), story("c", body="foo", title="bar"), story("d", body="none")])
-    ids = lambda q: [r.id for r in search.parts(lib, q, with_snippet=False).collect()]
+    index = search.Index.of(lib.stories)
+    ids = lambda q, at=index: [r.id for r in search.parts(lib, at, q, with_snippet=False).collect()]
     assert ids("foo-bar") == ["a"]
     assert set(ids("foo bar")) == {"a", "b", "c"}
     assert ids("CAFE !!!") == ["a"] and ids("!!!") == [] and ids("") == []
-    snippet = search.parts(lib, "cafe").first().snippet
+    snippet = search.parts(lib, index, "cafe").first().snippet
     assert "<mark>café</mark>" in snippet and "&lt;b&gt;&amp;" in snippet
 
 
+def test_search_index_is_stored_and_follows_updates(spark, tmp_path):
+    lib = Fake(spark, stories=[story("a", body="foo foo bar foo bar"), story("b", body="old word"), story("c", body="foo")])
+    index = search.Index.of(lib.stories).stored(str(tmp_path / "i"))
+    ids = lambda at, q: [r.id for r in search.parts(lib, at, q, with_snippet=False).collect()]
+    assert values(search.hits(index, ["foo", "bar"])) == [("a", 2)] and values(search.hits(index, ["foo"])) == [("a", 3), ("c", 1)]
+    changed = Fake(spark, stories=[story("b", body="new word"), story("d", body="word word")]).stories
+    after = index.updated(changed, spark.createDataFrame([("c",)], "id string")).stored(str(tmp_path / "j"))
+    assert ids(after, "old") == [] and ids(after, "new") == ["b"] and ids(after, "foo") == ["a"] and set(ids(after, "word")) == {"b", "d"}
+    plan = search.works(lib, after, "word")._jdf.queryExecution().executedPlan().toString()
+    assert "body_text" not in plan and "token" in plan
+
+
 def test_label_upsert_prefers_real_labels(spark):
     old = spark.createDataFrame([("a", "a"), ("b", "Real"), ("c", "Old")], "code string, label string")
     new = spark.createDataFrame([("a", "Alpha"), ("b", "b"), ("c", "New"), ("d", None)], "code string, label string")

@@ -1,10 +1,11 @@
 """Problem 8: encoding a corpus with a public byte-level BPE vocabulary.
 
 Method: forced-boundary splitting.  A pair of bytes that occurs inside no vocabulary token can never lie
-inside an output token, so every such place is a certain cut.  Of these the cuts between a non-blank
-character and an ASCII blank are used: there the pre-tokeniser (whose only look-ahead concerns runs of
-blanks) starts a new piece as well, so the fragments encode independently and their ids concatenate to
-the ids of the whole.  Fragments repeat a lot; their ids are kept in a bounded table per Python worker.
+inside an output token, so every such place between two characters is a certain cut for the merges.  It is used unless it
+could change what the pre-tokeniser sees: not after a blank, nor before a blank that isn't ASCII (its only look-ahead concerns
+runs of blanks), nor before an apostrophe, which a contraction may start with.  Inside a piece of the pre-tokeniser such a
+cut does no harm, as nothing merges across it.  So the fragments encode independently and their ids concatenate to the ids of
+the whole; texts without blanks are cut too.  Fragments repeat a lot; their ids are kept in a bounded table per Python worker.
 
 Defined results: null and empty texts give an empty list; every input row gives one row; strings of
 special tokens in a text are ordinary text; a null doc_id is kept.  A text without cuts is one fragment.
@@ -13,11 +14,13 @@ special tokens in a text are ordinary text; a null doc_id is kept.  A text witho
 from __future__ import annotations
 
 import base64
+import os
 from array import array
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
 from folioforge.llm.common import per_batch, texts_of
@@ -55,27 +58,28 @@ def forced(ranks: dict[bytes, int]) -> np.ndarray:
 
 
 @lru_cache(4)
-def cutter(path: str) -> tuple[np.ndarray, np.ndarray]:
-    """(the last UTF-8 byte of each character that may stand before a cut, else 256; cuts by [byte, blank])."""
-    free = forced(ranks_of(path))
-    last = np.arange(0x110000, dtype=np.int64)
-    last = np.where(last < 0x80, last, 0x80 | (last & 0x3F))
-    blank = [c for c in range(0x3001) if chr(c).isspace()] + [0x85]
+def cutter(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(the last UTF-8 byte of each character that may stand before a cut, else 256; the first one of each that may stand
+    behind it, else 256; cuts by [byte, byte])."""
+    point = np.arange(0x110000, dtype=np.int64)
+    last = np.where(point < 0x80, point, 0x80 | (point & 0x3F))
+    first = np.select([point < 0x80, point < 0x800, point < 0x10000], [point, 0xC0 | point >> 6, 0xE0 | point >> 12], 0xF0 | point >> 18)
+    blank = np.array([c for c in range(0x3001) if chr(c).isspace()] + [0x85])
     last[blank] = 256
-    allowed = np.zeros((257, 129), bool)  # column 128: any right character that is no ASCII blank
-    for c in ASCII_BLANKS:
-        allowed[:256, c] = free[:, c]
-    return last, allowed
+    first[[c for c in blank.tolist() if c not in ASCII_BLANKS] + [ord("'")]] = 256
+    allowed = np.zeros((257, 257), bool)
+    allowed[:256, :256] = forced(ranks_of(path))
+    return last.astype(np.int16), first.astype(np.int16), allowed
 
 
 def cuts_of(texts: list[str], path: str) -> list[np.ndarray]:
     """Per text the certain cut positions, without 0 and the end."""
-    last, allowed = cutter(path)
+    last, first, allowed = cutter(path)
     out: list[np.ndarray] = []
     for a, b in chunks(texts):
         cp = codepoints("\x00".join(texts[a:b]))
         at = np.cumsum([0] + [len(t) + 1 for t in texts[a:b]])
-        where = np.flatnonzero(allowed[last[cp[:-1]], np.minimum(cp[1:], 128)]) + 1 if len(cp) > 1 else np.zeros(0, np.int64)
+        where = np.flatnonzero(allowed[last[cp[:-1]], first[cp[1:]]]) + 1 if len(cp) > 1 else np.zeros(0, np.int64)
         edge = np.searchsorted(where, at)
         for i in range(b - a):
             own = where[edge[i] : edge[i + 1]] - at[i]
@@ -125,8 +129,12 @@ def _worker(path: str) -> FragmentEncoder:
 def encode(documents: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids) of every row of ``documents``; a narrow, shuffle-free scan."""
 
+    if os.path.exists(vocabulary):
+        documents.sparkSession.sparkContext.addFile(vocabulary)  # executors needn't have it at the same place
+
     def run(batch: pa.RecordBatch):
-        flat, offsets = _worker(vocabulary).batch(texts_of(batch, 1))
+        sent = SparkFiles.get(os.path.basename(vocabulary))
+        flat, offsets = _worker(sent if os.path.exists(sent) else vocabulary).batch(texts_of(batch, 1))
         ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(flat, np.int32) if len(flat) else np.zeros(0, np.int32)))
         yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["doc_id", "ids"])
 

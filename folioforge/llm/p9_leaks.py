@@ -128,11 +128,25 @@ class Items:
         order = np.lexsort((owner, seed))
         self.seed, self.owner = seed[order], owner[order]
 
-    def candidates(self, runs: np.ndarray) -> list[int]:
-        """The items with a seed among a document's runs."""
+    def stretches(self, runs: np.ndarray, length: int) -> dict[int, list[tuple[int, int]]]:
+        """Per item with a seed among a document's runs, the stretches of its words that an alignment through such a seed
+        can reach, joined where they meet.
+
+        A match scores MATCH and a word beside it costs OTHER, so an alignment that scores at all spans at most
+        1 + MATCH / OTHER words for each word of the item, on either side of the seed.
+        """
         lo, hi = np.searchsorted(self.seed, runs), np.searchsorted(self.seed, runs, "right")
-        hit = np.flatnonzero(hi > lo)
-        return sorted({int(o) for k in hit for o in self.owner[lo[k] : hi[k]]})
+        out: dict[int, list[tuple[int, int]]] = {}
+        for at in np.flatnonzero(hi > lo).tolist():
+            for i in self.owner[lo[at] : hi[at]].tolist():
+                reach = (1 + MATCH // OTHER) * int(self.offsets[i + 1] - self.offsets[i])
+                a, b = max(0, at - reach), min(length, at + SEED + reach)
+                own = out.setdefault(i, [])
+                if own and a <= own[-1][1]:
+                    own[-1] = (own[-1][0], max(b, own[-1][1]))
+                else:
+                    own.append((a, b))
+        return out
 
 
 def _counts(documents: DataFrame, items: Items) -> np.ndarray:
@@ -159,7 +173,8 @@ def _counts(documents: DataFrame, items: Items) -> np.ndarray:
 
 
 def alignments(documents: DataFrame, items: DataFrame, window: int = SEED, min_score: int = 2 * SEED) -> DataFrame:
-    """(doc_id, item_id, score, longest_run, first_word, last_word) of every seeded pair scoring at least ``min_score``."""
+    """(doc_id, item_id, score, longest_run, first_word, last_word) of every pair whose best alignment through a seed scores at
+    least ``min_score``; of a long document only the words around its seeds are aligned."""
     rows = items.select("item_id", "text").where("text is not null and item_id is not null").distinct().orderBy("item_id").toLocalIterator()
     blocks: list[tuple[list[int], list[str]]] = [([], [])]
     size = 0
@@ -185,9 +200,13 @@ def alignments(documents: DataFrame, items: DataFrame, window: int = SEED, min_s
                 seeded = block.seed[k] == runs if len(block.seed) else np.zeros(len(runs), bool)
                 docs = np.unique(np.searchsorted(run_at, np.flatnonzero(seeded), "right") - 1)
                 doc_ids = batch.column(0).to_pylist()
-                wanted = [(d, i) for d in docs.tolist() for i in block.candidates(runs[run_at[d] : run_at[d + 1]])]
-                results = aligned([(block.words[block.offsets[i] : block.offsets[i + 1]], words[at[d] : at[d + 1]]) for d, i in wanted])
-                found = [(doc_ids[d], block.ids[i], *r) for (d, i), r in zip(wanted, results, strict=True) if r[0] >= min_score]
+                wanted = [(d, i, a, b) for d in docs.tolist() for i, own in block.stretches(runs[run_at[d] : run_at[d + 1]], int(at[d + 1] - at[d])).items() for a, b in own]
+                results = aligned([(block.words[block.offsets[i] : block.offsets[i + 1]], words[at[d] + a : at[d] + b]) for d, i, a, b in wanted])
+                best: dict[tuple[int, int], tuple[int, int, int, int]] = {}
+                for (d, i, a, _), (score, longest, start, stop) in zip(wanted, results, strict=True):
+                    score0, longest0, *rest = best.get((d, i), (-1, 0, 0, 0))
+                    best[d, i] = (score, max(longest, longest0), start + a, stop + a) if score > score0 else (score0, max(longest, longest0), *rest)
+                found = [(doc_ids[d], block.ids[i], *r) for (d, i), r in sorted(best.items()) if r[0] >= min_score]
                 if found:
                     columns = list(zip(*found, strict=True))
                     kinds = [pa.int64(), pa.int64()] + [pa.int32()] * 4

@@ -44,8 +44,26 @@ p as (select x.tag_id tag_id_a, y.tag_id tag_id_b, count(*) n_ab from l x join l
 """
 
 
+_RUNS = """
+s as (select id, arg_max(body_text, ingested_at) body_text from stories where body_text is not null group by 1),
+w as (select id, regexp_extract_all(lower(body_text), '[\\p{L}\\p{N}]+') w from s),
+r as (select distinct id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) run from w where len(w) >= 20),
+n as (select id, count(*) n from r group by 1),
+o as (select x.id id_a, y.id id_b, count(*) o from r x join r y on x.run = y.run and x.id < y.id group by 1, 2)
+"""
+
+_LEAKS = """
+i as (select item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') w from eval_items where text is not null),
+ir as (select distinct item_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k : k + 11], ' '))) run from i where len(w) >= 12),
+d as (select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') w from documents where text is not null),
+dr as (select distinct doc_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k : k + 11], ' '))) run from d where len(w) >= 12)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_found": f"with {_RUNS} select id_a, id_b from o join n a on a.id = id_a join n b on b.id = id_b where 5 * o >= 3 * (a.n + b.n - o)",
+        "p9_found": f"with {_LEAKS} select distinct doc_id, item_id from dr join ir on ir.run = dr.run",
         "p2_found": _PAIRS
         + "select tag_id_a, tag_id_b from p join c a on a.tag_id = tag_id_a join c b on b.tag_id = tag_id_b, n "
         "where n_ab >= 5 and cast(n_ab as hugeint) * n >= 3 * cast(a.k as hugeint) * b.k",

@@ -297,6 +297,27 @@ def test_p8_equals_the_plain_encoder(spark):
     assert p8_encode.encode(df.where("false")).count() == 0
 
 
+def test_p8_cuts_texts_without_blanks():
+    r = random.Random(6)
+    plain = p8_encode.encoder(p8_encode.VOCABULARY)
+    texts = ["x1y2;z=3&q=Ж7/" * 50, "その夜、灯子は木の舟を売った。" * 9, "a''s't!'s\"'re" * 7] + ["".join(r.choice("aZé'’s!?.-0²あЖ日😀\u0301") for _ in range(60)) for _ in range(500)]
+    assert all(len(c) > 5 for c in p8_encode.cuts_of(texts[:2], p8_encode.VOCABULARY))
+    flat, at = p8_encode.FragmentEncoder().batch(texts)
+    assert [flat[at[i] : at[i + 1]].tolist() for i in range(len(texts))] == [plain.encode_ordinary(t) for t in texts]
+
+
+def test_p9_aligns_only_around_seeds_of_a_long_text():
+    items = p9_leaks.Items([7], [" ".join(prose(1, 40))], 12)
+    items.choose(np.ones(len(items.grams), np.int64))
+    filler = [f"f{k}" for k in range(3000)]
+    words, at = word_hashes([" ".join(filler + prose(1, 40)[10:30] + filler)])
+    runs, _ = run_hashes(words, at, p9_leaks.SEED)
+    (((a, b),),) = [own for own in items.stretches(runs, len(words)).values()]
+    assert a < 3000 and b > 3020 and b - a < 300
+    (result,) = p9_leaks.aligned([(items.words, words[a:b])])
+    assert result[:2] == (40, 20) and (result[2] + a, result[3] + a) == (3000, 3020)
+
+
 def test_p9_equals_brute_force(spark):
     items = [(i, " ".join(prose(100 + i, 40))) for i in range(6)] + [(6, " ".join(prose(100, 40))), (7, None), (8, ""), (9, "too short"), (None, "x")]
     docs = [(0, None), (1, ""), (2, " ".join(prose(9, 50)))]

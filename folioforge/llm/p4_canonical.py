@@ -8,7 +8,9 @@ the smaller id.
 
 Alias paths of an entry: the words joined without blanks, the words in reverse order, the last word in the
 plural, and (exact only) each word cut to a prefix of three letters or more.  Values are folded first: compatibility
-forms, accents, case, label prefixes such as ``genre:``, hash signs, camel case, quotes, punctuation, articles.
+forms, accents, case, label prefixes such as ``genre:``, hash signs, camel case, quotes, punctuation, articles.  Last words that
+say nothing are learned from the values: a word that follows LEARNED_FROM different entries or more, written out, is left out
+where the value with it is no entry.
 
 Scale: values collapse to distinct ones before matching and join back by value, so a hot value is matched once.  Matching
 runs in a fixed number of tasks.  A reference list of at most REFERENCE_ROWS rows goes to every task; a longer one is cut
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 REFERENCE_ROWS = 20_000
 #: Longest entry, in folded characters, for a distance of 0, 1 and 2; beyond that 3.
 BUDGET_STEPS = (3, 7, 29)
-SHORTEST_PREFIX = 3
+SHORTEST_PREFIX, LEARNED_FROM = 3, 3
 _LABEL = re.compile(r"^(?:[\w ]{1,20}:\s*)+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _WORD = re.compile(r"[^\W_]+")
@@ -57,8 +59,6 @@ def fold(text: str) -> str:
     words = re.findall(r"[^\W_]+%?", cut)
     if len(words) > 1 and words[0] in ("the", "a", "an"):
         words = words[1:]
-    if len(words) > 2 and words[-1] in ("trope", "tag", "theme", "genre"):
-        words = words[:-1]
     return " ".join(words)
 
 
@@ -170,10 +170,22 @@ class Trie:
             before = [s[live] for s in old[:most]]
             states = [s[live] for s in states]
 
-    def matches(self, texts: list[str], nearest: bool = False) -> list[list[tuple[int, int]]]:
+    def shortened(self, folded: str, idle: frozenset) -> str:
+        """A value without its last word, if that says nothing and the whole is no entry."""
+        rest, _, word = folded.rpartition(" ")
+        return rest if rest and word in idle and folded not in self.ends else folded
+
+    def trailing(self, text: str) -> tuple[str, int] | None:
+        """(last word, entry) of a value that is an entry and one word more."""
+        folded = fold(text)
+        rest, _, word = folded.rpartition(" ")
+        hits = () if folded in self.ends else self.ends.get(rest, ())
+        return (word, min(key for key, _ in hits)) if hits else None
+
+    def matches(self, texts: list[str], idle: frozenset, nearest: bool = False) -> list[list[tuple[int, int]]]:
         """Per value, (distance, key) of every entry within its budget; with ``nearest`` no search where a path is met
         exactly."""
-        folded = [fold(t) for t in texts]
+        folded = [self.shortened(fold(t), idle) for t in texts]
         out = [self.exact(f) for f in folded]
         by_budget: dict[int, list[int]] = {}
         for i, f in enumerate(folded):
@@ -185,23 +197,35 @@ class Trie:
                 out[i] = [(d, key) for key, d in best.items()]
         return out
 
-    def best(self, texts: list[str]) -> list[tuple[int, int, int] | None]:
+    def best(self, texts: list[str], idle: frozenset = frozenset()) -> list[tuple[int, int, int] | None]:
         """(distance, -uses, key) of the entry that each value stands for."""
-        return [min(((d, -self.weight.get(key, 0), key) for d, key in hits), default=None) for hits in self.matches(texts, nearest=True)]
+        return [min(((d, -self.weight.get(key, 0), key) for d, key in hits), default=None) for hits in self.matches(texts, idle, nearest=True)]
+
+
+_BEST, _ALL, _LAST = "v string, d bigint, u bigint, k bigint", "v string, k bigint, d bigint", "w string, k bigint"
+
+
+def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    columns = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string() if kind == "string" else pa.int64()) for i, (_, kind) in enumerate(columns)], names=[n for n, _ in columns])
+
+
+def _best_of(idle: frozenset) -> Callable:
+    return lambda trie, values: _rows([(v, *(b or (None,) * 3)) for v, b in zip(values, trie.best(values, idle), strict=True)], _BEST)
 
 
-_BEST, _ALL = "v string, d bigint, u bigint, k bigint", "v string, k bigint, d bigint"
+def _all_of(idle: frozenset) -> Callable:
+    return lambda trie, values: _rows([(v, key, d) for v, hits in zip(values, trie.matches(values, idle), strict=True) for d, key in hits], _ALL)
 
 
-def _best_of(trie: Trie, values: pa.Array) -> pa.RecordBatch:
-    best = trie.best(values.to_pylist())
-    return pa.RecordBatch.from_arrays([values, *(pa.array([b and b[i] for b in best], pa.int64()) for i in range(3))], names=["v", "d", "u", "k"])
+def _trailing_of(trie: Trie, values: list[str]) -> pa.RecordBatch:
+    return _rows([found for v in values if (found := trie.trailing(v))], _LAST)
 
 
-def _all_of(trie: Trie, values: pa.Array) -> pa.RecordBatch:
-    texts = values.to_pylist()
-    rows = [(v, key, d) for v, hits in zip(texts, trie.matches(texts), strict=True) for d, key in hits]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))], names=["v", "k", "d"])
+def idle_words(distinct: DataFrame, weighted: DataFrame) -> frozenset:
+    """Last words that say nothing; they are far fewer than the entries that each of them follows."""
+    seen = _searched(distinct, weighted, _trailing_of, _LAST).groupBy("w").agg(F.count_distinct("k").alias("n"))
+    return frozenset(r.w for r in seen.where(F.col("n") >= LEARNED_FROM).select("w").collect())
 
 
 def _searched(distinct: DataFrame, weighted: DataFrame, answer: Callable, schema: str) -> DataFrame:
@@ -215,7 +239,7 @@ def _searched(distinct: DataFrame, weighted: DataFrame, answer: Callable, schema
         def run(batches: Iterator[pa.RecordBatch]):
             trie = Trie([x[:2] for x in entries], {x[0]: x[2] for x in entries})
             for batch in batches:
-                yield answer(trie, batch.column(0))
+                yield answer(trie, batch.column(0).to_pylist())
 
         # Spark would drop a repartition by ``v``, by which the values are placed already, and put the small shuffle into one
         # task; matching costs CPU, not bytes, so values are placed anew by their hash.
@@ -228,7 +252,7 @@ def _searched(distinct: DataFrame, weighted: DataFrame, answer: Callable, schema
     def meet(values: pa.Table, entries: pa.Table) -> pa.Table:
         rows = entries.to_pylist()
         trie = Trie([(x["k"], x["name"]) for x in rows], {x["k"]: x["uses"] for x in rows})
-        return pa.Table.from_batches([answer(trie, batch.column("v")) for batch in values.to_batches()])
+        return pa.Table.from_batches([answer(trie, batch.column("v").to_pylist()) for batch in values.to_batches()])
 
     return left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(meet, schema)
 
@@ -246,7 +270,7 @@ def resolve(values: DataFrame, reference: DataFrame, id_col: str = "id", text_co
     """(id, tag_id) of every row with a value that isn't blank; -1 where no entry is near enough."""
     rows, names, distinct, exact, weighted = _tables(values, reference, id_col, text_col, key_col, name_col)
     rest = distinct.join(names, F.col("v") == F.col("name"), "left_anti")
-    found = _searched(rest, weighted, _best_of, _BEST)
+    found = _searched(rest, weighted, _best_of(idle_words(rest, weighted)), _BEST)
     found = found.groupBy("v").agg(F.min(F.when(F.col("k").isNotNull(), F.struct("d", "u", "k"))).alias("m"))
     resolved = found.select("v", F.coalesce("m.k", F.lit(-1)).cast("bigint").alias("tag_id"))
     if not skip_exact:
@@ -257,5 +281,5 @@ def resolve(values: DataFrame, reference: DataFrame, id_col: str = "id", text_co
 def matches(values: DataFrame, reference: DataFrame, id_col: str = "id", text_col: str = "tag_text", key_col: str = "id", name_col: str = "name") -> DataFrame:
     """(tag_text, tag_id, distance): of every different value all entries within the distance that its length allows."""
     _, _, distinct, _, weighted = _tables(values, reference, id_col, text_col, key_col, name_col)
-    found = _searched(distinct, weighted, _all_of, _ALL)
+    found = _searched(distinct, weighted, _all_of(idle_words(distinct, weighted)), _ALL)
     return found.groupBy("v", "k").agg(F.min("d").alias("distance")).select(F.col("v").alias("tag_text"), F.col("k").alias("tag_id"), "distance")

@@ -223,6 +223,13 @@ def test_p4_trie_agrees_with_plain_distance():
     assert long.within(["ab" * 39 + "ba", "ba" * 40], 3) == [[(1, 1)], [(2, 1)]]
 
 
+def test_p4_learns_last_words_that_say_nothing(spark):
+    tags = spark.createDataFrame([(k, n) for k, n in enumerate(("sea witch", "lost heir", "old mill", "lost heir motif", "quiet harbour"))], "id bigint, name string")
+    texts = ["Sea Witch motif", "old mill motif", "quiet harbour motif", "lost heir motif!", "sea wtich motif", "lost heir recipe", "motif"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id bigint, tag_text string")
+    assert {r.id: r.tag_id for r in p4_canonical.resolve(rows, tags).collect()} == {0: 0, 1: 2, 2: 4, 3: 3, 4: 0, 5: -1, 6: -1}
+
+
 def test_p4_all_entries_within_distance(spark):
     tags = spark.createDataFrame([(1, "sea witch"), (2, "tea witch"), (3, "ab")], "id bigint, name string")
     rows = spark.createDataFrame([(1, "Sea  Witch"), (2, "see witch"), (3, "Sea  Witch"), (4, None), (5, " "), (6, "ac")], "id bigint, tag_text string")

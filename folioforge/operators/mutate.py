@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioforge.storage import shared_folder
+
 CONTENT = ("group_id", "part_index", "title", "author", "body_text", "source_relpath", "content_hash", "ingested_at", "media_path")
 
 
@@ -26,10 +28,15 @@ def delete(df: DataFrame, where: Column) -> DataFrame:
 
 
 def with_ids(new: DataFrame, old: DataFrame, order: list[str], high_water: int | None = None, id_col: str = "id") -> DataFrame:
-    """``new`` with ids that follow the largest of ``old``: numbered per range partition, partition totals added up."""
+    """``new`` with ids that follow the largest of ``old``: numbered per range partition, partition totals added up.
+
+    The sorted rows are written once, as their partitions must be the same for the numbers and for the totals.
+    """
     base = old.agg(F.max(id_col)).first()[0] or 0
     base = max(base, high_water or 0)
     placed = new.sort(*order).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
+    shared_folder(new.sparkSession)
+    placed = placed.checkpoint()
     totals = placed.groupBy("_p").agg(F.count("*").alias("_c"))
     before = totals.withColumn("_b", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_b")
     inside = F.row_number().over(Window.partitionBy("_p").orderBy("_m"))

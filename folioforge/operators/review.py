@@ -26,14 +26,17 @@ def by_tag(library: Library, job: int | None = None, limit: int = 50, offset: in
     return (rows.offset(offset) if offset else rows).limit(limit)
 
 
-def stories_for_tags(library: Library, tag_ids: list[int], job: int | None = None) -> DataFrame:
-    """(tag_id, stories): per wanted tag its pending stories as ``title|id`` in title order, an empty list if none."""
+def stories_for_tags(library: Library, tag_ids: list[int], job: int | None = None, limit: int | None = None, offset: int = 0) -> DataFrame:
+    """(tag_id, title, id): the pending stories of each wanted tag in title order, a row without a story for a tag that has none.
+
+    Rows, not lists, so that a tag on very many stories is paged like any other.
+    """
     wanted = library.spark.createDataFrame([(t,) for t in tag_ids], "tag_id bigint")
     links = pending(library, job).where(F.col("tag_id").isin(tag_ids)).select("story_id", "tag_id").distinct()
     rows = links.join(library.stories.select(F.col("id").alias("story_id"), F.coalesce("title", F.lit("")).alias("title")), "story_id")
-    lists = rows.groupBy("tag_id").agg(F.sort_array(F.collect_list(F.struct("title", "story_id"))).alias("s"))
-    joined = F.transform("s", lambda x: F.concat(x["title"], F.lit("|"), x["story_id"]))
-    return wanted.join(lists, "tag_id", "left").select("tag_id", F.coalesce(joined, F.array().cast("array<string>")).alias("stories"))
+    out = wanted.join(rows, "tag_id", "left").select("tag_id", "title", F.col("story_id").alias("id")).orderBy("tag_id", "title", "id")
+    out = out.offset(offset) if offset else out
+    return out if limit is None else out.limit(limit)
 
 
 def by_story(library: Library, job: int | None = None, limit: int = 50, offset: int = 0) -> DataFrame:

@@ -133,7 +133,7 @@ def queries() -> dict[str, Query]:
         "pending_counts_job": lambda x: review.counts(x, 3),
         "pending_tags": lambda x: review.by_tag(x),
         "pending_tags_job": lambda x: review.by_tag(x, 3),
-        "pending_stories_by_tag": lambda x: review.stories_for_tags(x, [2, 3, 999999]).select("tag_id", F.array_join("stories", ";").alias("stories")),
+        "pending_stories_by_tag": lambda x: review.stories_for_tags(x, [2, 3, 999999]),
         "pending_by_story": lambda x: review.by_story(x).select("id", "title", "author", F.array_join("tags", ";").alias("tags")),
         # jobs
         "jobs_page": lambda x: jobs.listed(x),

@@ -147,7 +147,7 @@ select token, field, count(distinct id) stories, count(*) hits from (select id,
         "pending_tags": f"with {PENDING} select id, name, count(distinct story_id) pending_count from tags join pe on tag_id = id group by 1, 2 order by 3 desc, name limit 50",
         "pending_tags_job": f"with {PENDING} select id, name, count(distinct story_id) pending_count from tags join pe on tag_id = id where job_id = 3 group by 1, 2 order by 3 desc, name limit 50",
         "pending_stories_by_tag": f"""with {STORIES}, {PENDING}, w as (select unnest([2, 3, 999999]) tag_id), r as (select distinct pe.tag_id, coalesce(title, '') title, s.id from pe join s on s.id = story_id)
-select cast(w.tag_id as bigint) tag_id, coalesce(string_agg(title || '|' || r.id, ';' order by title, r.id), '') stories from w left join r on r.tag_id = w.tag_id group by 1""",
+select cast(w.tag_id as bigint) tag_id, title, id from w left join r on r.tag_id = w.tag_id""",
         "pending_by_story": f"""with {STORIES}, {PENDING}, p as (select id, title, author from s where id in (select story_id from pe) order by title nulls first, id limit 50)
 select p.id, p.title, p.author, string_agg(name, ';' order by name) tags from p join (select distinct story_id, tag_id from pe) d on d.story_id = p.id join tags t on t.id = d.tag_id group by 1, 2, 3""",
         "jobs_page": f"{JOBS} order by j.created_at desc, j.id desc limit 25",

@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioforge.llm.common import cut
+
 REFERENCE_ROWS = 20_000
 #: Longest entry, in folded characters, for a distance of 0, 1 and 2; beyond that 3.
 BUDGET_STEPS = (3, 7, 29)
@@ -260,7 +262,7 @@ def _searched(distinct: DataFrame, weighted: DataFrame, answer: Callable, schema
 def _tables(values: DataFrame, reference: DataFrame, id_col: str, text_col: str, key_col: str, name_col: str) -> tuple[DataFrame, ...]:
     rows = values.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("v")).where(r"v is not null and v rlike '[^\\s\\u00A0]'")
     names = reference.select(F.col(key_col).cast("bigint").alias("k"), F.col(name_col).alias("name")).where("name is not null").groupBy("name").agg(F.min("k").alias("k"))
-    distinct = rows.groupBy("v").agg(F.count("*").alias("uses"))
+    distinct = cut(rows.groupBy("v").agg(F.count("*").alias("uses")))  # read several times below
     exact = distinct.join(names, F.col("v") == F.col("name")).select("v", "k", "uses")
     weighted = names.join(exact.select("k", "uses"), "k", "left").select("k", "name", F.coalesce("uses", F.lit(0)).alias("uses"))
     return rows, names, distinct, exact, weighted
